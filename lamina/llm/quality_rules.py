@@ -40,7 +40,7 @@ RULES = (
     Rule("word_length", "word_chars / n_words", low=2.0, high=15.0),
     Rule("symbols_per_word", "n_symbols / n_words", high=0.15),
     Rule("stop_word_share", "n_stop_words / n_words", low=0.02, min_words=40),
-    Rule("duplicate_lines", "n_dup_lines / n_lines", high=0.3),
+    Rule("duplicate_lines", "n_dup_lines / n_lines", high=0.5),
 )
 
 

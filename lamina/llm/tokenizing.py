@@ -2,7 +2,8 @@
 
 The byte-level vocabulary splits texts into pieces before merging, and a piece never reaches across a
 space that a visible character follows. So a text is cut before such spaces, each distinct cut is encoded
-once by the library, and the ids are joined. Texts with other uses of the space go to the library whole.
+once by the library, and the ids are joined. New cuts go to the library as one text; the bytes of the ids
+say where each ends. Texts with other uses of the space go to the library whole.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ import numpy as np
 _IRREGULAR = re.compile(r" (?=\s|\Z)")
 #: Longer words are encoded again each time, so that the cache stays small.
 _LONGEST_CACHED = 64
+#: Words in one call of the library.
+_JOINED = 4000
 
 _encoders: dict[int, "WordEncoder"] = {}
 
@@ -29,6 +32,24 @@ class WordEncoder:
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.cache_words = cache_words
         self.words: dict[str, bytes] = {}
+        vocabulary = self.library.get_vocab()
+        self.id_bytes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        for token, number in vocabulary.items():
+            self.id_bytes[number] = len(token)  # each character of a token stands for a byte
+
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of a space and each word; no word is empty or begins with white space."""
+        out: dict[str, bytes] = {}
+        for at in range(0, len(words), _JOINED):
+            some = words[at : at + _JOINED]
+            ids = np.array(self.library.encode_batch_fast(["".join([" " + w for w in some])], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.cumsum([len(w.encode("utf-8", "surrogatepass")) + 1 for w in some])
+            cuts = np.searchsorted(np.cumsum(self.id_bytes[ids]), ends) + 1
+            body, low = ids.tobytes(), 0
+            for w, high in zip(some, (4 * cuts).tolist(), strict=True):
+                out[w] = body[low:high]
+                low = high
+        return out
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
@@ -50,7 +71,7 @@ class WordEncoder:
                 cuts.append((first, rest))
         missing = {w for cut in cuts if cut for w in cut[1]}.difference(words)
         missing = list(missing)
-        fresh = dict(zip(missing, self._encoded([" " + w for w in missing]), strict=True))
+        fresh = self._words(missing)
         words.update((w, ids) for w, ids in fresh.items() if len(w) <= _LONGEST_CACHED)
         for w in missing:
             if len(w) <= _LONGEST_CACHED:
