@@ -9,6 +9,8 @@ say where each ends. Texts with other uses of the space go to the library whole.
 from __future__ import annotations
 
 import re
+import sys
+import types
 
 import numpy as np
 
@@ -19,13 +21,12 @@ _LONGEST_CACHED = 64
 #: Words in one call of the library.
 _JOINED = 4000
 
-_encoders: dict[int, "WordEncoder"] = {}
 
 
 class WordEncoder:
-    """Encodes batches of texts; keeps the ids of at most cache_words distinct words."""
+    """Encodes batches of texts; keeps the ids of the first cache_words distinct words."""
 
-    def __init__(self, vocabulary_json: str, cache_words: int = 300_000):
+    def __init__(self, vocabulary_json: str, cache_words: int = 400_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(vocabulary_json)
@@ -57,8 +58,6 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; null is empty."""
-        if len(self.words) > self.cache_words:
-            self.words.clear()
         words, cuts, whole = self.words, [], []
         for at, text in enumerate(texts):
             if not text:
@@ -72,29 +71,30 @@ class WordEncoder:
         missing = {w for cut in cuts if cut for w in cut[1]}.difference(words)
         missing = list(missing)
         fresh = self._words(missing)
-        words.update((w, ids) for w, ids in fresh.items() if len(w) <= _LONGEST_CACHED)
-        for w in missing:
-            if len(w) <= _LONGEST_CACHED:
-                del fresh[w]
+        if len(words) < self.cache_words:
+            words.update(item for item in fresh.items() if len(item[0]) <= _LONGEST_CACHED)
         out = [b""] * len(texts)
         heads = [at for at, cut in enumerate(cuts) if cut and cut[0]]
         for at, ids in zip(heads, self._encoded([cuts[at][0] for at in heads]), strict=True):
             out[at] = ids
         for at, cut in enumerate(cuts):
             if cut:
-                out[at] += b"".join([words[w] if w in words else fresh[w] for w in cut[1]]) if fresh else b"".join(map(words.__getitem__, cut[1]))
+                out[at] += b"".join([words.get(w) or fresh[w] for w in cut[1]])
         for at, ids in zip(whole, self._encoded([texts[at] for at in whole]), strict=True):
             out[at] = ids
         return out
 
 
 def encoder(vocabulary_json: str) -> WordEncoder:
-    """One encoder for each worker process and vocabulary."""
-    key = hash(vocabulary_json)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = WordEncoder(vocabulary_json)
-    return _encoders[key]
+    """One encoder for each worker process and vocabulary.
+
+    It is kept in a module of its own: functions travel by value, and their globals end with the task.
+    """
+    kept = sys.modules.setdefault("lamina_worker_state", types.ModuleType("lamina_worker_state")).__dict__
+    key = f"encoder {hash(vocabulary_json)}"
+    if key not in kept:
+        kept[key] = WordEncoder(vocabulary_json)
+    return kept[key]
 
 
 def vocabulary(path: str) -> str:
