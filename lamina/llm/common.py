@@ -58,9 +58,17 @@ def partitions(spark: SparkSession) -> int:
 
 
 def running(totals: DataFrame, key: str, *sums: str) -> DataFrame:
-    """Exclusive prefix sums, in the order of key, of a table with a row for each partition."""
+    """Exclusive prefix sums ({sum}_before), in the order of key, and sums over all ({sum}_all).
+
+    totals has a row for each partition or block, so that its single window stays small.
+    """
     before = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    return totals.select(key, *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"{s}_before") for s in sums])
+    whole = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return totals.select(
+        key,
+        *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"{s}_before") for s in sums],
+        *[F.sum(s).over(whole).alias(f"{s}_all") for s in sums],
+    )
 
 
 def lower_ascii(c: Column) -> Column:

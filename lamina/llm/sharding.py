@@ -39,9 +39,7 @@ def assign_shards(docs: DataFrame, shards: int = 24, key: str = "doc_id", text:
 
     totals = dealt.groupBy("_part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
     # One row for each range partition, a number set by spark.sql.shuffle.partitions: safe to broadcast.
-    offsets = running(totals, "_part", "bytes", "rows").join(
-        F.broadcast(totals.agg(F.sum("bytes").alias("_all")).withColumn("_one", F.lit(1))), F.lit(1) == F.col("_one")
-    )
+    offsets = running(totals, "_part", "bytes", "rows")
     inside = Window.partitionBy("_part").orderBy(*order)
     placed = dealt.join(F.broadcast(offsets), "_part").select(
         key,
@@ -50,9 +48,9 @@ def assign_shards(docs: DataFrame, shards: int = 24, key: str = "doc_id", text:
         "text_crc32",
         (F.col("bytes_before") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("_start"),
         (F.col("rows_before") + F.row_number().over(inside) - 1).alias("_index"),
-        "_all",
+        "bytes_all",
     )
-    placed = placed.withColumn("shard", F.least(F.lit(shards - 1), F.expr(f"_start * {shards} div _all")).cast("int"))
+    placed = placed.withColumn("shard", F.least(F.lit(shards - 1), F.expr(f"_start * {shards} div bytes_all")).cast("int"))
     firsts = placed.groupBy("shard").agg(F.min("_index").alias("_first"))
     return placed.join(F.broadcast(firsts), "shard").select(
         key,

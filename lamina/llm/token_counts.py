@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lamina.llm.common import small_text_batches
+from lamina.llm.common import running, small_text_batches
 from lamina.llm.tokenizing import encoder, vocabulary
 
 #: Lengths of one block of the two-level prefix sums.
@@ -50,15 +50,7 @@ def length_answers(counts: DataFrame) -> DataFrame:
     """
     rows = counts.withColumn("n_tokens", F.col("length") * F.col("n_docs")).withColumn("block", F.expr(f"length div {BLOCK}"))
     blocks = rows.groupBy("block").agg(F.sum("n_docs").alias("docs"), F.sum("n_tokens").alias("tokens"))
-    up_to_here = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    blocks = blocks.select(
-        "block",
-        F.coalesce(F.sum("docs").over(up_to_here), F.lit(0)).alias("docs_before"),
-        F.coalesce(F.sum("tokens").over(up_to_here), F.lit(0)).alias("tokens_before"),
-        F.sum("docs").over(whole).alias("all_docs"),
-        F.sum("tokens").over(whole).alias("all_tokens"),
-    )
+    blocks = running(blocks, "block", "docs", "tokens")
     inside = Window.partitionBy("block").orderBy("length").rowsBetween(Window.unboundedPreceding, -1)
     out = rows.join(blocks, "block").select(
         "length",
@@ -66,8 +58,8 @@ def length_answers(counts: DataFrame) -> DataFrame:
         "n_tokens",
         (F.col("docs_before") + F.coalesce(F.sum("n_docs").over(inside), F.lit(0))).alias("docs_below"),
         (F.col("tokens_before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).alias("tokens_below"),
-        "all_docs",
-        "all_tokens",
+        F.col("docs_all").alias("all_docs"),
+        F.col("tokens_all").alias("all_tokens"),
     )
     return out.select(
         "length",
