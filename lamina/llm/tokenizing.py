@@ -1,87 +1,108 @@
 """Whole texts to token ids with the tokenizers library, words at a time.
 
-The byte-level vocabulary splits texts into pieces before merging, and a piece never reaches across a
-space that a visible character follows. So a text is cut before such spaces, each distinct cut is encoded
-once by the library, and the ids are joined. New cuts go to the library as one text; the bytes of the ids
-say where each ends. Texts with other uses of the space go to the library whole.
+A byte-level vocabulary splits texts into pieces before merging, and a piece never reaches across a space
+that a visible character follows. So a text is cut before such spaces, each distinct cut goes through the
+library's merges once, and the ids are joined. A cut of letters with punctuation at its end is two pieces;
+the library itself splits all others. Texts with other uses of the space, and vocabularies of another
+kind, go to the library whole.
 """
 
 from __future__ import annotations
 
-import re
+import json
 import sys
 import types
+from array import array
 
 import numpy as np
 
-#: A space that white space or the end follows: there a piece may hold several of them.
-_IRREGULAR = re.compile(r" (?=\s|\Z)")
 #: Longer words are encoded again each time, so that the cache stays small.
 _LONGEST_CACHED = 64
-#: Words in one call of the library.
-_JOINED = 4000
+#: Characters that make one piece at the end of a word of letters.
+_TAIL = ".,;:!?%$#*&|()[]{}\"-/<>=+~^@_"
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write bytes as: visible Latin-1 stands for itself, the others
+    follow from 256 on, in order."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(visible)]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(others)}
+
 
 class WordEncoder:
     """Encodes batches of texts; keeps the ids of the first cache_words distinct words."""
 
-    def __init__(self, vocabulary_json: str, cache_words: int = 400_000):
+    def __init__(self, vocabulary_json: str, cache_words: int = 600_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(vocabulary_json)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.merges, self.cut_before = self.library.model, self.library.pre_tokenizer
+        self.letters = _byte_letters()
         self.cache_words = cache_words
         self.words: dict[str, bytes] = {}
-        vocabulary = self.library.get_vocab()
-        self.id_bytes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
-        for token, number in vocabulary.items():
-            self.id_bytes[number] = len(token)  # each character of a token stands for a byte
-
-    def _words(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of a space and each word; no word is empty or begins with white space."""
-        out: dict[str, bytes] = {}
-        for at in range(0, len(words), _JOINED):
-            some = words[at : at + _JOINED]
-            ids = np.array(self.library.encode_batch_fast(["".join([" " + w for w in some])], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.cumsum([len(w.encode("utf-8", "surrogatepass")) + 1 for w in some])
-            cuts = np.searchsorted(np.cumsum(self.id_bytes[ids]), ends) + 1
-            body, low = ids.tobytes(), 0
-            for w, high in zip(some, (4 * cuts).tolist(), strict=True):
-                out[w] = body[low:high]
-                low = high
-        return out
-
-    def _encoded(self, texts: list[str]) -> list[bytes]:
+        self.tails: dict[str, bytes] = {}
+        made = json.loads(vocabulary_json)
+        cutting = made.get("pre_tokenizer") or {}
+        self.by_words = (
+            made["model"]["type"] == "BPE" and not made.get("normalizer") and cutting.get("type") == "ByteLevel"
+            and cutting.get("use_regex", True) and not cutting.get("add_prefix_space")
+        )
+
+    def _piece(self, piece: str) -> bytes:
+        if piece.isascii():
+            letters = piece.replace(" ", self.letters[0x20])
+        else:
+            letters = piece.encode("utf-8").decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.merges.tokenize(letters)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """The ids of a space and a word, which is not empty and does not begin with white space."""
+        core = word.rstrip(_TAIL)
+        if core.isalpha():
+            if len(core) == len(word):
+                return self._piece(" " + word)
+            ids = self.words.get(core) or self._piece(" " + core)
+            tail = word[len(core) :]
+            if tail not in self.tails:
+                if len(self.tails) > 10_000:
+                    self.tails.clear()
+                self.tails[tail] = self._piece(tail)
+            return ids + self.tails[tail]
+        return array("I", [t.id for piece, _ in self.cut_before.pre_tokenize_str(" " + word) for t in self.merges.tokenize(piece)]).tobytes()
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; null is empty."""
-        words, cuts, whole = self.words, [], []
-        for at, text in enumerate(texts):
-            if not text:
-                cuts.append(None)
-            elif _IRREGULAR.search(text):
-                cuts.append(None)
-                whole.append(at)
-            else:
-                first, *rest = text.split(" ")
-                cuts.append((first, rest))
-        missing = {w for cut in cuts if cut for w in cut[1]}.difference(words)
-        missing = list(missing)
-        fresh = self._words(missing)
-        if len(words) < self.cache_words:
-            words.update(item for item in fresh.items() if len(item[0]) <= _LONGEST_CACHED)
+        if not self.by_words:
+            return self._whole([t or "" for t in texts])
+        words = self.words
+        cuts = [t.split(" ") if t else None for t in texts]
+        heads = [c.pop(0) if c else None for c in cuts]
+        missing = set().union(*[c for c in cuts if c]).difference(words)
+        odd = {w for w in missing if not w or w[0].isspace()}  # some space ends a text or precedes white space
+        whole = [at for at, c in enumerate(cuts) if c and not odd.isdisjoint(c)] if odd else []
+        for at in whole:
+            cuts[at] = heads[at] = None
+        fresh = {w: self._word(w) for w in missing if w not in odd}
+        words.update(fresh)
         out = [b""] * len(texts)
-        heads = [at for at, cut in enumerate(cuts) if cut and cut[0]]
-        for at, ids in zip(heads, self._encoded([cuts[at][0] for at in heads]), strict=True):
+        starts = [at for at, head in enumerate(heads) if head]
+        for at, ids in zip(starts, self._whole([heads[at] for at in starts]), strict=True):
             out[at] = ids
         for at, cut in enumerate(cuts):
             if cut:
-                out[at] += b"".join([words.get(w) or fresh[w] for w in cut[1]])
-        for at, ids in zip(whole, self._encoded([texts[at] for at in whole]), strict=True):
+                out[at] += b"".join(map(words.__getitem__, cut))
+        for at, ids in zip(whole, self._whole([texts[at] for at in whole]), strict=True):
             out[at] = ids
+        full = len(words) > self.cache_words
+        for w in fresh:
+            if full or len(w) > _LONGEST_CACHED:
+                del words[w]
         return out
 
 
