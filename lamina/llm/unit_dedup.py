@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lamina.llm.common import small_text_batches
+from lamina.llm.common import small_text_batches, staged
 
 MIN_WORDS = 20
 #: From a visible character to the end of the sentence or line.
@@ -74,10 +74,11 @@ def occurrences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text_key, start, stop, n_units, n_words, kept_doc_id of every span to remove."""
     found = occurrences(docs, key, text).withColumn("rank", F.coalesce("doc_id", F.lit(_LAST)))
-    # Both hash aggregation and join need only one row a task for units that are everywhere; the join's
-    # large keys are split at run time.
+    # The aggregation has one row a task for units that are everywhere. Its result is a table of its own, so
+    # that both sides of the join are plain exchanges, whose large keys are split at run time.
     first = found.groupBy("d1", "d2").agg(F.min("rank").alias("first"), F.max("rank").alias("last"), F.max("again").alias("_any"))
     first = first.filter((F.col("first") < F.col("last")) | F.col("_any")).select("d1", "d2", "first")
+    first = staged(first, "repeated")
     repeated = found.join(first, ["d1", "d2"]).filter((F.col("rank") > F.col("first")) | F.col("again"))
     repeated = repeated.groupBy("doc_id", "text_key", "unit").agg(
         F.min("start").alias("start"), F.min("stop").alias("stop"), F.min("words").alias("words"), F.min("first").alias("first")
