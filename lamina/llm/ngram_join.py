@@ -381,12 +381,14 @@ def link_components(
     nodes = staged(nodes, "nodes")
     sets = staged(_sets(docs, nodes.select("node", "doc_id", "text_key"), join.width, key, text), "sets")
     groups = staged(groups.join(nodes.select("node", "n"), "node"), "groups")
+    released(spark)
 
     links, tested, labels = None, None, None
     for _ in range(STAR_ROUNDS):
         groups = _open(groups, labels)
         stars = _stars(groups, tested, join.percent)
         new = staged(_verified(stars, sets, join.percent), "links")
+        released(spark)
         tested = stars if tested is None else staged(tested.unionByName(stars), "tested")
         found = new.limit(1).count()
         links = new if links is None else links.unionByName(new)
@@ -408,6 +410,7 @@ def link_components(
     if large.limit(1).count():
         more = more.unionByName(_linked_in_blocks(large, sets, join.percent))
     more = staged(more, "links")
+    released(spark)
     if report:
         report(heads=heads, nodes=nodes, open=groups, pairs=pairs, links=more)
     if more.limit(1).count():
