@@ -16,11 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lamina.llm.common import running, small_text_batches
+from lamina.llm.common import running, small_text_batches, staged
 from lamina.llm.tokenizing import encoder, vocabulary
 
 #: Lengths of one block of the two-level prefix sums.
-BLOCK = 1024
+BLOCK = 128
 
 
 def encoded_lengths(docs: DataFrame, vocabulary_path: str, text: str = "text", end_tokens: int = 1) -> DataFrame:
@@ -48,6 +48,7 @@ def length_answers(counts: DataFrame) -> DataFrame:
     The sums run in two levels, over blocks of lengths and inside each block, so that no task sees more
     than a block's lengths or one row for each block.
     """
+    counts = staged(counts, "lengths")  # used twice below; without this the documents would be encoded twice
     rows = counts.withColumn("n_tokens", F.col("length") * F.col("n_docs")).withColumn("block", F.expr(f"length div {BLOCK}"))
     blocks = rows.groupBy("block").agg(F.sum("n_docs").alias("docs"), F.sum("n_tokens").alias("tokens"))
     blocks = running(blocks, "block", "docs", "tokens")
