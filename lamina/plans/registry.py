@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from lamina.plans import alignments, corpora, families, sequences
+
+MODULES = (sequences, families, alignments, corpora)
+QUERIES: dict = {name: query for module in MODULES for name, query in module.QUERIES.items()}
+ORACLES: dict[str, str] = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
