@@ -20,10 +20,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
     Only where the setting is empty does this fall back to a temporary folder (local tests).
     """
-    top = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not top:
-        top = tempfile.mkdtemp(prefix="lamina-")
-        spark.conf.set("spark.checkpoint.dir", top)
+    top = spark.conf.get("spark.checkpoint.dir", "") or f"{tempfile.gettempdir()}/lamina"
     return f"{top.rstrip('/')}/lamina/{name}-{uuid.uuid4().hex}"
 
 
