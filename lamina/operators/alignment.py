@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from lamina.functions.statistics import correlation
 from lamina.sources.relations import cells
 
 
@@ -107,7 +108,7 @@ def entropy_correlation(first: DataFrame, second: DataFrame, least_depth: int =
     a = first.select("msa_id", "col", F.col("depth").alias("da"), F.col("entropy").alias("ea"))
     b = second.select("msa_id", "col", F.col("depth").alias("db"), F.col("entropy").alias("eb"))
     rows = a.join(b, ["msa_id", "col"]).filter((F.col("da") >= least_depth) & (F.col("db") >= least_depth))
-    r = F.when((F.count("*") > 1) & (F.stddev_pop("ea") > 1e-12) & (F.stddev_pop("eb") > 1e-12), F.corr("ea", "eb"))
+    r = F.when((F.count("*") > 1) & (F.stddev_pop("ea") > 1e-12) & (F.stddev_pop("eb") > 1e-12), correlation(F.col("ea"), F.col("eb")))
     return rows.groupBy("msa_id").agg(F.count("*").alias("columns"), r.alias("correlation"))
 
 

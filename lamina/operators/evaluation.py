@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lamina.functions.statistics import correlation
+
 
 def length_ratios(generated: DataFrame, prompts: DataFrame, group: str) -> DataFrame:
     """generated_id, min, max and mean of its length over each prompt's length.
@@ -41,7 +43,7 @@ def spearman(rows: DataFrame, group: str, x: str, y: str) -> DataFrame:
         return F.rank().over(Window.partitionBy(group).orderBy(c)) + (peers - 1) / 2
 
     ranked = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_x", average_rank(x)).withColumn("_y", average_rank(y))
-    r = F.when((F.stddev_pop("_x") > 0) & (F.stddev_pop("_y") > 0), F.corr("_x", "_y")).otherwise(0.0)
+    r = F.when((F.stddev_pop("_x") > 0) & (F.stddev_pop("_y") > 0), correlation(F.col("_x"), F.col("_y"))).otherwise(0.0)
     return ranked.groupBy(group).agg(F.count("*").alias("n"), F.round(r, 9).alias("spearman"))
 
 

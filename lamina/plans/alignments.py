@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lamina.functions import identity as I
 from lamina.functions import residues as R
+from lamina.functions.statistics import correlation
 from lamina.operators import alignment as A
 from lamina.operators import evaluation as E
 from lamina.plans.proxies import CELLS, MSA
@@ -90,7 +91,7 @@ def pair_frequencies(spark, sf):
 def pair_frequencies_pearson(spark, sf):
     """Correlation of joint and product frequencies in each alignment."""
     out = A.pair_frequencies(_weighted_cells(spark, sf))
-    return out.groupBy("msa_id").agg(F.count("*").alias("cells"), F.round(F.corr("frequency", F.col("frequency") - F.col("covariance")), 6).alias("pearson"))
+    return out.groupBy("msa_id").agg(F.count("*").alias("cells"), F.round(correlation(F.col("frequency"), F.col("frequency") - F.col("covariance")), 6).alias("pearson"))
 
 
 def contact_scores(spark, sf):

@@ -367,7 +367,7 @@ ct AS (SELECT msa_id, member, col, token, count(*) AS n FROM cc GROUP BY ALL), t
 wc AS (SELECT msa_id, row_id AS candidate, unnest(range(0, length(aln))) AS col, unnest(string_split(aln, '')) AS token FROM m),
 lp AS (SELECT wc.msa_id, candidate, tt.member, avg(ln((1 - 0.1::DOUBLE) * coalesce(n / t, 0) + 0.1::DOUBLE / (SELECT count(*) FROM al))) AS s
   FROM wc JOIN tt ON tt.msa_id = wc.msa_id AND tt.col = wc.col LEFT JOIN ct ON ct.msa_id = wc.msa_id AND ct.member = tt.member AND ct.col = wc.col AND ct.token = wc.token GROUP BY ALL),
-sc AS (SELECT msa_id, candidate, count(*) AS members, round(avg(s), 7) AS score FROM lp GROUP BY ALL)"""
+sc AS (SELECT msa_id, candidate, count(*) AS members, round(avg(s), 9) AS score FROM lp GROUP BY ALL)"""
 
 
 ORACLES = {
@@ -425,7 +425,7 @@ ORACLES = {
     "merged_statistics": f"WITH {SEQS} SELECT coalesce(s.doc_id, l.doc_id) AS generated_id, seq_len AS coverage, quality AS identity FROM (SELECT * FROM s WHERE doc_id % 2 = 0) s FULL JOIN labels l ON s.doc_id = l.doc_id",
     "spearman_by_group": f"""WITH v AS (SELECT lang AS g, n_chars AS x, quality AS y FROM documents JOIN labels USING (doc_id)), {_RANKS}
         SELECT g AS lang, count(*) AS n, round(CASE WHEN stddev_pop(rx) > 0 AND stddev_pop(ry) > 0 THEN corr(rx, ry) ELSE 0 END, 9) AS spearman FROM r GROUP BY g""",
-    "assay_spearman": f"""WITH {_profile(2)}, v AS (SELECT msa_id AS g, score AS x, p_retailprice AS y FROM sc JOIN part ON p_partkey = candidate), {_RANKS}
+    "assay_spearman": f"""WITH {_profile(2)}, v AS (SELECT msa_id AS g, round(score, 7) AS x, p_retailprice AS y FROM sc JOIN part ON p_partkey = candidate), {_RANKS}
         SELECT g AS msa_id, count(*) AS n, round(CASE WHEN stddev_pop(rx) > 0 AND stddev_pop(ry) > 0 THEN corr(rx, ry) ELSE 0 END, 6) AS spearman FROM r GROUP BY g""",
     "ensemble_profile_scores": f"WITH {_profile(3)} SELECT msa_id, candidate, members, round(score + 1e-8, 5) AS score FROM sc",
     "ensemble_reduction_probs": """WITH c AS (SELECT o_orderstatus AS step, o_custkey % 3 AS member, o_orderpriority AS token, count(*) AS n FROM orders GROUP BY ALL),
