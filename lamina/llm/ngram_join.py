@@ -431,14 +431,15 @@ def one_of_each(docs: DataFrame, join: JaccardJoin, key: str = "doc_id", text: s
     """The rows of docs, with their columns, that are the first of their component.
 
     The document whose id is the component's id stays, of several rows with that id the one with the
-    smallest text hash, and of equal rows one. Documents with empty sets and without id all stay.
+    smallest text hash, and of equal rows one; so do documents with empty sets, which are like no other.
     """
     found = link_components(docs, join, key, text)
     keep = found.filter("doc_id = component_id or n_shingles = 0 or component_id is null")
-    keep = keep.groupBy("doc_id", "n_shingles", "component_id").agg(F.min("text_key").alias("text_key"))
-    marks = keep.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    keep = keep.groupBy("doc_id", "n_shingles", "component_id").agg(F.min("text_key").alias("text_key"), F.count("*").alias("rows"))
+    marks = keep.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
     if marks.count() <= MOST_BROADCAST:
         marks = F.broadcast(marks)
-    own = docs.withColumn("_own", F.xxhash64(text))
-    kept = own.join(marks, own[key].cast("long").eqNullSafe(marks["_id"]) & (own["_own"] == marks["_key"]), "left_semi").drop("_own")
-    return kept.dropDuplicates([key, text])
+    own = docs.withColumn("__own", F.xxhash64(text))
+    kept = own.join(marks, own[key].cast("long").eqNullSafe(marks["__id"]) & (own["__own"] == marks["__key"]), "left_semi").drop("__own")
+    # Only where ids repeat do whole rows have to meet.
+    return kept.dropDuplicates([key, text]) if keep.filter("rows > 1").limit(1).count() else kept

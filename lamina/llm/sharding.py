@@ -24,6 +24,8 @@ def assign_shards(docs: DataFrame, shards: int = 24, key: str = "doc_id", text:
 
     Only these slim columns are shuffled; name bulky ones in carry only where they must be placed.
     """
+    if clash := {"size", "text_crc32", "law", "shard", "slot", "grown_shard"}.intersection(carry):
+        raise ValueError(f"carried columns have names of the result: {sorted(clash)}")
     spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
     slim = docs.select(

@@ -140,11 +140,11 @@ def schedule(docs: DataFrame, mix: Mix = Mix(), key: str = "doc_id", source: str
 
 def mixed(docs: DataFrame, mix: Mix = Mix(), key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The rows of docs, with their columns, each as often as the schedule passes it."""
-    times = schedule(docs, mix, key, source, text).groupBy("source", "doc_id", "text_key").agg(F.count("*").cast("int").alias("_times"))
-    times = times.select(F.col("source").alias("_source"), F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "_times")
-    own = docs.withColumn("_own", F.md5(F.coalesce(F.col(text), F.lit(""))))
+    times = schedule(docs, mix, key, source, text).groupBy("source", "doc_id", "text_key").agg(F.count("*").cast("int").alias("__times"))
+    times = times.select(F.col("source").alias("__source"), F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "__times")
+    own = docs.withColumn("__own", F.md5(F.coalesce(F.col(text), F.lit(""))))
     same = (
-        own[key].cast("long").eqNullSafe(times["_id"]) & (own["_own"] == times["_key"]) & (F.coalesce(own[source], F.lit("")) == times["_source"])
+        own[key].cast("long").eqNullSafe(times["__id"]) & (own["__own"] == times["__key"]) & (F.coalesce(own[source], F.lit("")) == times["__source"])
     )
-    joined = own.join(times, same).withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    joined = own.join(times, same).withColumn("__pass", F.explode(F.sequence(F.lit(1), F.col("__times"))))
     return joined.select(*[own[c] for c in docs.columns])

@@ -97,11 +97,11 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows and columns of docs, with the spans cut from the text and their offsets in `removed`."""
+    """The rows and columns of docs, with the spans cut from the text and their offsets in `removed`, which replaces a column of that name."""
     cuts = spans.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("removed"))
-    cuts = cuts.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "removed")
-    own = docs.withColumn("_own", F.xxhash64(text))
-    joined = own.join(cuts, own[key].cast("long").eqNullSafe(cuts["_id"]) & (own["_own"] == cuts["_key"]), "left").drop("_id", "_key", "_own")
+    cuts = cuts.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "removed")
+    own = docs.withColumn("__own", F.xxhash64(text))
+    joined = own.join(cuts, own[key].cast("long").eqNullSafe(cuts["__id"]) & (own["__own"] == cuts["__key"]), "left").drop("__id", "__key", "__own")
     pieces = F.aggregate(
         "removed",
         F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at")),
