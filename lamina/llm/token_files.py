@@ -26,7 +26,7 @@ END_ID = 2
 SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
 #: ORC settings: doc_id filters, rows for each index entry, stripe bytes.
 ORC_OPTIONS = {
-    "compression": "zstd",
+    "compression": "snappy",
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
     "orc.create.index": "true",
@@ -40,19 +40,17 @@ def write_token_files(docs: DataFrame, path: str, vocabulary_path: str, end_id:
     spark = docs.sparkSession
     small_text_batches(spark)
     handle = spark.sparkContext.broadcast(vocabulary(vocabulary_path))  # one vocabulary file of fixed size
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, start = encoder(handle.value), 0
         for batch in batches:
-            ids = [x + end for x in own.encode(batch.column(1).to_pylist())]
-            sizes = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-            ends = np.cumsum(sizes)
-            lists = pa.ListArray.from_arrays(
-                pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(np.frombuffer(b"".join(ids), dtype="<i4"), pa.int32())
-            )
-            columns = [batch.column(0), batch.column(2), pa.array(start + ends - sizes), pa.array(sizes), lists]
-            start += int(ends[-1]) if len(ends) else 0
+            ids, at = own.encode(batch.column(1))
+            ids = np.insert(ids, at[1:], end_id)
+            at = at + np.arange(len(at))
+            sizes = np.diff(at)
+            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32), pa.int32()))
+            columns = [batch.column(0), batch.column(2), pa.array(start + at[:-1]), pa.array(sizes), lists]
+            start += int(at[-1])
             yield pa.record_batch(columns, ["doc_id", "part", "start_in_part", "n_tokens", "ids"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))

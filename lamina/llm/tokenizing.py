@@ -15,6 +15,8 @@ import types
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Longer words are encoded again each time, so that the cache stays small.
 _LONGEST_CACHED = 64
@@ -59,51 +61,70 @@ class WordEncoder:
 
     def _word(self, word: str) -> bytes:
         """The ids of a space and a word, which is not empty and does not begin with white space."""
+        if word.isalpha():
+            return self._piece(" " + word)
         core = word.rstrip(_TAIL)
         if core.isalpha():
-            if len(core) == len(word):
-                return self._piece(" " + word)
-            ids = self.words.get(core) or self._piece(" " + core)
             tail = word[len(core) :]
             if tail not in self.tails:
                 if len(self.tails) > 10_000:
                     self.tails.clear()
                 self.tails[tail] = self._piece(tail)
-            return ids + self.tails[tail]
+            return (self.words.get(core) or self._piece(" " + core)) + self.tails[tail]
         return array("I", [t.id for piece, _ in self.cut_before.pre_tokenize_str(" " + word) for t in self.merges.tokenize(piece)]).tobytes()
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
+        found = self.library.encode_batch_fast(texts, add_special_tokens=False) if texts else []
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers; null is empty."""
-        if not self.by_words:
-            return self._whole([t or "" for t in texts])
-        words = self.words
-        cuts = [t.split(" ") if t else None for t in texts]
-        heads = [c.pop(0) if c else None for c in cuts]
-        missing = set().union(*[c for c in cuts if c]).difference(words)
-        odd = {w for w in missing if not w or w[0].isspace()}  # some space ends a text or precedes white space
-        whole = [at for at, c in enumerate(cuts) if c and not odd.isdisjoint(c)] if odd else []
-        for at in whole:
-            cuts[at] = heads[at] = None
-        fresh = {w: self._word(w) for w in missing if w not in odd}
-        words.update(fresh)
-        out = [b""] * len(texts)
-        starts = [at for at, head in enumerate(heads) if head]
-        for at, ids in zip(starts, self._whole([heads[at] for at in starts]), strict=True):
-            out[at] = ids
-        for at, cut in enumerate(cuts):
-            if cut:
-                out[at] += b"".join(map(words.__getitem__, cut))
-        for at, ids in zip(whole, self._whole([texts[at] for at in whole]), strict=True):
-            out[at] = ids
-        full = len(words) > self.cache_words
-        for w in fresh:
-            if full or len(w) > _LONGEST_CACHED:
-                del words[w]
-        return out
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where each text's begin and end; null is empty.
+
+        Arrow cuts the texts and numbers their distinct words, so that Python sees each word once a batch.
+        """
+        texts = pc.fill_null(texts, "")
+        parts = pc.split_pattern(texts, " ") if self.by_words else pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1), pa.int32()), texts)
+        first = parts.offsets.to_numpy()
+        flat = parts.values.slice(first[0], first[-1] - first[0])
+        first = (first - first[0]).astype(np.int64)
+        is_head = np.zeros(len(flat), dtype=bool)
+        is_head[first[:-1]] = True
+        heads = self._whole(flat.filter(pa.array(is_head)).to_pylist())
+        numbered = flat.filter(pa.array(~is_head)).dictionary_encode()
+        entries, odd = [], []
+        cached, rest = self.words.get, {}
+        for at, word in enumerate(numbered.dictionary.to_pylist()):
+            ids = cached(word) or self._fresh(word, rest)
+            if not ids:
+                odd.append(at)
+            entries.append(ids)
+        entry = np.empty(len(flat), dtype=np.int64)
+        entry[is_head] = len(entries) + np.arange(len(texts))
+        entry[~is_head] = numbered.indices.to_numpy()
+        if odd:  # a space ends these texts or precedes white space: the library gets them whole
+            owner = np.repeat(np.arange(len(texts)), np.diff(first))
+            for at in np.unique(owner[~is_head & np.isin(entry, odd)]).tolist():
+                heads[at] = self._whole([texts[at].as_py()])[0]
+                entry[first[at] + 1 : first[at + 1]] = len(entries) + len(texts)
+        table = [*entries, *heads, b""]
+        sizes = np.array([len(x) for x in table], dtype=np.int64) // 4
+        starts = np.cumsum(sizes) - sizes
+        blob = np.frombuffer(b"".join(table), dtype="<u4")
+        own = sizes[entry]
+        ends = np.cumsum(own)
+        ids = blob[np.repeat(starts[entry] - (ends - own), own) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        return ids, np.concatenate(([0], ends))[first]
+
+    def _fresh(self, word: str, rest: dict[str, bytes]) -> bytes:
+        """The ids of a new word, which is kept; none for what is no word."""
+        if not word or word[0].isspace():
+            return b""
+        ids = self._word(word)
+        if len(self.words) < self.cache_words and len(word) <= _LONGEST_CACHED:
+            self.words[word] = ids
+        else:
+            rest[word] = ids
+        return ids
 
 
 def encoder(vocabulary_json: str) -> WordEncoder:
