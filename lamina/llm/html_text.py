@@ -27,6 +27,9 @@ from lamina.llm.common import small_text_batches
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|([^<]+|<)", re.DOTALL
 )
+#: A tag whose quotes do not match: it ends at the next mark.
+_LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+_BEGINS_TAG = re.compile(r"</?[a-zA-Z]")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
 _PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？]")
 
@@ -83,10 +86,12 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     at, size = 0, len(page)
     while at < size:
         token = _TOKEN.match(page, at)
-        if token is None:  # a tag that never ends
-            break
+        if token[4] == "<" and _BEGINS_TAG.match(page, at):
+            token = _LOOSE_TAG.match(page, at)
+            if token is None:  # a tag that never ends
+                break
         at = token.end()
-        closing, tag, attributes, text = token.groups()
+        closing, tag, attributes, text = (*token.groups(), None)[:4]
         if text is not None:
             if not stack or stack[-1][1]:
                 text = references.unescape(text)

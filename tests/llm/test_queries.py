@@ -1,0 +1,37 @@
+from __future__ import annotations
+
+import corpus_pipeline
+import pytest
+from compare import assert_same
+
+from lamina.llm import queries
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_oracle(spark, sf_dir, name):
+    assert_same(queries.QUERIES[name](spark, sf_dir), sf_dir, queries.ORACLES[name])
+
+
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES)))
+def test_rows(spark, sf_dir, name):
+    assert queries.QUERIES[name](spark, sf_dir).count() > 0
+
+
+def test_pipeline_stages(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    columns, before = docs.columns, docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, before, sf_dir).cache()
+        assert after.columns == columns, name
+        assert {r.doc_id for r in after.collect()} <= {r.doc_id for r in before.collect()}
+        if name != "source_mixing":
+            assert after.count() < before.count()
+        before = after
+    last = corpus_pipeline.STAGES[-1][1](spark, before, sf_dir)
+    assert last.count() == before.count() and set(columns) - {"text"} <= set(last.columns)
+
+
+def test_registered_once():
+    import __spark_entry__ as entry
+
+    assert {"pipeline", *queries.QUERIES} <= set(entry.queries())
