@@ -6,8 +6,10 @@ each band that a partner of a possible size would put it in. In a band the hash
 into n1 partitions with n1 * (spare + 1) > k, each cut again into n2; one of the n1 then holds at most
 `spare` differing shingles, and leaving out each choice of `spare` of its n2 parts gives one projection on
 which both sets agree. A signature is the band, the partition, the left-out part and the sum of the hashes
-of the projected shingles. An empty projection says nothing, so that it is replaced by the signatures of
-the same band under a second hash.
+of the projected shingles. An empty projection says nothing and would be shared by many sets. With
+`margin` more partitions than needed, at least 1 + margin of them agree, so that a set with empty
+projections in no more than margin partitions can leave those out; other sets replace each by the
+signatures of the same band under a second hash.
 
 Documents with equal sets are one node, so that copies cost one row a task. Signatures travel in binary
 blocks; each bucket of signatures gives its groups of two and more nodes. In rounds, each node is compared
@@ -71,6 +73,13 @@ class JaccardJoin:
     def distance(self, total: int) -> int:
         return total * (100 - self.percent) // (100 + self.percent)
 
+    def needed(self, k: int) -> int:
+        """Partitions of which one holds at most `spare` of k differing shingles."""
+        return k // (min(self.spare, k) + 1) + 1
+
+    def margin(self, k: int) -> int:
+        return self.needed(k) // 8
+
     def bands_of(self, size: int) -> list[tuple[int, int]]:
         """(band, k) for every band that a pair with a set of this size can fall into."""
         ks = self.bands(size)
@@ -116,20 +125,20 @@ def signatures(shingles: np.ndarray, join: JaccardJoin) -> np.ndarray:
     out = []
     for band, k in join.bands_of(len(shingles)):
         sums, counts = _band(shingles, join, band, k, 0)
-        empty = np.flatnonzero(counts == 0)
-        out.append(sums[counts > 0])
-        if len(empty):
-            again, _ = _band(shingles, join, band, k, 1)
+        out.append(sums[counts > 0].ravel())
+        empty = np.flatnonzero(counts.ravel() == 0)
+        if (counts == 0).any(axis=1).sum() > join.margin(k):
+            again = _band(shingles, join, band, k, 1)[0].ravel()
             with np.errstate(over="ignore"):
                 out.extend(mixed(again ^ (_U(at + 1) * _M1), 7) for at in empty.tolist())
     return np.unique(np.concatenate(out))
 
 
 def _band(shingles: np.ndarray, join: JaccardJoin, band: int, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of one band, and how many shingles each projects on."""
+    """Signatures of one band, a row for each partition, and how many shingles each projects on."""
     spare = min(join.spare, k)
     parts = join.parts if spare else 1
-    n1 = -(-(k + 1) // (spare + 1))
+    n1 = join.needed(k) + join.margin(k)
     values = mixed(shingles, 11 + seed)
     place = (mixed(shingles, 1000 * (seed + 1) + band) % _U(n1 * parts)).astype(np.int64)
     with np.errstate(over="ignore"):
@@ -142,7 +151,8 @@ def _band(shingles: np.ndarray, join: JaccardJoin, band: int, k: int, seed: int)
             sums = sums.sum(axis=1, dtype=np.uint64)[:, None] - sums @ out
             counts = counts.sum(axis=1)[:, None] - counts @ out.astype(np.int64)
         at = np.arange(sums.size, dtype=np.uint64)
-        return mixed(sums.ravel() + mixed(at + _U(1_000_003) * _U(band), 5), 3 + seed), counts.ravel()
+        named = mixed(sums.ravel() + mixed(at + _U(1_000_003) * _U(band), 5), 3 + seed)
+        return named.reshape(sums.shape), counts.reshape(sums.shape)
 
 
 def headers(docs: DataFrame, width: int, key: str = "doc_id", text: str = "text") -> DataFrame:
