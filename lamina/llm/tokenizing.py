@@ -98,7 +98,7 @@ class WordEncoder:
             if not ids:
                 odd.append(at)
             entries.append(ids)
-        entry = np.empty(len(flat), dtype=np.int64)
+        entry = np.empty(len(flat), dtype=np.int32)
         entry[is_head] = len(entries) + np.arange(len(texts))
         entry[~is_head] = numbered.indices.to_numpy()
         if odd:  # a space ends these texts or precedes white space: the library gets them whole
@@ -107,13 +107,13 @@ class WordEncoder:
                 heads[at] = self._whole([texts[at].as_py()])[0]
                 entry[first[at] + 1 : first[at + 1]] = len(entries) + len(texts)
         table = [*entries, *heads, b""]
-        sizes = np.array([len(x) for x in table], dtype=np.int64) // 4
-        starts = np.cumsum(sizes) - sizes
+        sizes = np.array([len(x) for x in table], dtype=np.int32) // 4  # a batch has fewer than 2**31 ids
+        starts = np.cumsum(sizes, dtype=np.int32) - sizes
         blob = np.frombuffer(b"".join(table), dtype="<u4")
         own = sizes[entry]
-        ends = np.cumsum(own)
-        ids = blob[np.repeat(starts[entry] - (ends - own), own) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        return ids, np.concatenate(([0], ends))[first]
+        ends = np.cumsum(own, dtype=np.int32)
+        ids = blob[np.repeat(starts[entry] - (ends - own), own) + np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int32)]
+        return ids, np.concatenate(([0], ends)).astype(np.int64)[first]
 
     def _fresh(self, word: str, rest: dict[str, bytes]) -> bytes:
         """The ids of a new word, which is kept; none for what is no word."""
