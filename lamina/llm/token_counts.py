@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lamina.llm.common import running, small_text_batches, staged
-from lamina.llm.tokenizing import encoder, vocabulary
+from lamina.llm.tokenizing import encoder, gathered, vocabulary
 
 #: Lengths of one block of the two-level prefix sums.
 BLOCK = 128
@@ -30,7 +30,7 @@ def encoded_lengths(docs: DataFrame, vocabulary_path: str, text: str = "text", e
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(handle.value)
-        for batch in batches:
+        for batch in gathered(batches):
             _, at = own.encode(batch.column(0))
             yield pa.record_batch([pa.array(np.diff(at) + end_tokens, pa.int64())], ["length"])
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.llm.common import partitions, running, small_text_batches
-from lamina.llm.tokenizing import encoder, vocabulary
+from lamina.llm.tokenizing import encoder, gathered, vocabulary
 
 END_ID = 2
 SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
@@ -43,7 +43,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary_path: str, end_id:
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, start = encoder(handle.value), 0
-        for batch in batches:
+        for batch in gathered(batches):
             ids, at = own.encode(batch.column(1))
             ids = np.insert(ids, at[1:], end_id)
             at = at + np.arange(len(at))

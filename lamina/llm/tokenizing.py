@@ -10,9 +10,11 @@ kind, go to the library whole.
 from __future__ import annotations
 
 import json
+import os
 import sys
 import types
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,8 @@ class WordEncoder:
     """Encodes batches of texts; keeps the ids of the first cache_words distinct words."""
 
     def __init__(self, vocabulary_json: str, cache_words: int = 600_000):
+        # A task has one core: threads of the library would only wait for those of other tasks.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(vocabulary_json)
@@ -127,6 +131,19 @@ class WordEncoder:
         return ids
 
 
+def gathered(batches: Iterator[pa.RecordBatch], least_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of about least_bytes from smaller ones: the more texts at once, the fewer words are looked up."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= least_bytes:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def encoder(vocabulary_json: str) -> WordEncoder:
     """One encoder for each worker process and vocabulary.
 
