@@ -257,7 +257,7 @@ def _groups(table: pa.Table) -> pa.Table:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int, key: str, text: str) -> DataFrame:
-    """node, shingles for the representatives in wanted (node, doc_id, text_key)."""
+    """node, n, sketch, shingles for the representatives in wanted (node, doc_id, text_key)."""
     rows = docs.select(F.col(key).cast("long").alias("_id"), F.xxhash64(text).alias("_key"), F.col(text).alias("text"))
     if wanted.count() <= MOST_BROADCAST:
         wanted = F.broadcast(wanted)
@@ -268,10 +268,19 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int, key: str, text: str) -
             own = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
             ends = np.cumsum([0] + [len(s) for s in own])
             values = pa.array(np.concatenate(own).astype(np.int64) if own else [], pa.int64())
-            yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], ["node", "shingles"])
+            cells = [np.minimum(np.bincount((s >> _U(7)).astype(np.int64) % SKETCH_CELLS, minlength=SKETCH_CELLS), 127) for s in own]
+            sketches = pa.array(np.concatenate(cells).astype(np.int8) if own else [], pa.int8())
+            at = pa.array(np.arange(len(own) + 1) * SKETCH_CELLS, pa.int32())
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+            columns = [batch.column(0), pa.array(np.diff(ends), pa.int64()), pa.ListArray.from_arrays(at, sketches), lists]
+            yield pa.record_batch(columns, ["node", "n", "sketch", "shingles"])
 
     # Rows with equal id and text would be the same representative twice.
-    return rows.mapInArrow(sets, "node long, shingles array<long>").dropDuplicates(["node"])
+    return rows.mapInArrow(sets, "node long, n long, sketch array<tinyint>, shingles array<long>").dropDuplicates(["node"])
+
+
+#: Cells of a set's sketch: how many shingles fall into each, at most 127.
+SKETCH_CELLS = 256
 
 
 #: Rows (24 bytes each) up to which the list of wanted representatives is broadcast; beyond, it is joined.
@@ -279,12 +288,22 @@ MOST_BROADCAST = 1_000_000
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b of the pairs that link, by exact intersection."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb")).cast("long")
-    union = F.size("sa") + F.size("sb") - both
-    return pairs.join(left, "a").join(right, "b").filter(100 * both >= percent * union).select("a", "b")
+    """a, b of the pairs that link, by exact intersection.
+
+    Sets whose sketches differ by more than the pair's Hamming distance may do, differ by more as well; such
+    pairs go before any set is shuffled.
+    """
+
+    def side(pair_end: str, column: str) -> DataFrame:
+        return sets.select(F.col("node").alias(pair_end), F.col(column).alias(f"{column}_{pair_end}"), F.col("n").alias(f"n_{pair_end}"))
+
+    total = F.col("n_a") + F.col("n_b")
+    apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda t, d: t + d)
+    near = pairs.join(side("a", "sketch"), "a").join(side("b", "sketch"), "b")
+    near = staged(near.filter(apart * (100 + percent) <= total * (100 - percent)).select("a", "b"), "near")
+    both = F.size(F.array_intersect("shingles_a", "shingles_b")).cast("long")
+    known = near.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b")
+    return known.filter(100 * both >= percent * (total - both)).select("a", "b")
 
 
 #: Rounds of stars before the pairs that are left are compared; the result is the same for any number.
@@ -371,7 +390,7 @@ def _linked_in_blocks(large: DataFrame, sets: DataFrame, percent: int) -> DataFr
                 out.append((int(nodes[i]), int(nodes[j])))
         return pa.table([pa.array([min(x) for x in out], pa.int64()), pa.array([max(x) for x in out], pa.int64())], ["a", "b"])
 
-    return rows.join(sets, "node").groupBy("unit", "x", "y").applyInArrow(forest, "a long, b long")
+    return rows.join(sets.select("node", "shingles"), "node").groupBy("unit", "x", "y").applyInArrow(forest, "a long, b long")
 
 
 def link_components(
