@@ -28,6 +28,26 @@ def shared_tokens(rows: DataFrame, gaps: bool) -> DataFrame:
     return a.join(b, ["msa_id", "col", "token"]).groupBy("msa_id", "a", "b").agg(F.count("*").alias("n"))
 
 
+def best_similarity(samples: DataFrame, prompts: DataFrame) -> DataFrame:
+    """msa_id, row_id, best: each sample's largest share of equal residues with a prompt row.
+
+    Equal non-gap columns over the larger ungapped length, 0 without any. Samples and prompts meet on equal
+    cells, prompts once for each distinct row.
+    """
+
+    def residues(rows: DataFrame) -> Column:
+        return F.length(F.replace("aln", F.lit("-"), F.lit("")))
+
+    unlike = distinct_rows(prompts).select("msa_id", F.col("row_id").alias("prompt"), "aln")
+    a = cells(samples).filter("token <> '-'")
+    b = cells(unlike.withColumnRenamed("prompt", "row_id")).filter("token <> '-'").withColumnRenamed("row_id", "prompt")
+    shared = a.join(b, ["msa_id", "col", "token"]).groupBy("msa_id", "row_id", "prompt").agg(F.count("*").alias("n"))
+    shared = shared.join(unlike.select("msa_id", "prompt", residues(unlike).alias("lp")), ["msa_id", "prompt"])
+    sizes = samples.select("msa_id", "row_id", residues(samples).alias("ls"))
+    best = shared.join(sizes, ["msa_id", "row_id"]).groupBy("msa_id", "row_id").agg(F.max(F.col("n") / F.greatest("ls", "lp")).alias("best"))
+    return sizes.join(best, ["msa_id", "row_id"], "left").select("msa_id", "row_id", F.coalesce("best", F.lit(0.0)).alias("best"))
+
+
 def homology_weights(rows: DataFrame, theta: float) -> DataFrame:
     """msa_id, row_id, neighbours, weight, p, n_eff; a row with only gaps is its copies' neighbour alone.
 

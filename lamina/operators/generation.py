@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lamina.functions import identity as I
 from lamina.functions.residues import repeat_guard, uniform, without_gaps
-from lamina.operators.alignment import column_frequencies
+from lamina.operators.alignment import best_similarity, column_frequencies
 from lamina.operators.scoring import checked_generation_length
 from lamina.sources.relations import cells
 
@@ -61,9 +60,8 @@ def generate(
     if least_share is not None:
         fine = fine & (F.length("sequence") >= F.floor(F.col("prompt_min") * least_share))
     if least_identity:
-        unlike = prompts.select("msa_id", F.col("aln").alias("prompt")).distinct()
-        best = rows.join(unlike, "msa_id").groupBy("msa_id", "sample_id", "attempt").agg(F.max(I.longest_ungapped_similarity(F.col("aln"), F.col("prompt"))).alias("best"))
-        rows = rows.join(best, ["msa_id", "sample_id", "attempt"])
+        rows = rows.withColumn("row_id", F.concat_ws("/", F.col("sample_id").cast("string"), F.col("attempt").cast("string")))
+        rows = rows.join(best_similarity(rows.select("msa_id", "row_id", "aln"), prompts), ["msa_id", "row_id"])
         fine = fine & (F.col("best") >= least_identity)
     ranked = rows.withColumn("accepted", fine)
     chosen = ranked.groupBy("msa_id", "sample_id").agg(F.min(F.struct((~F.col("accepted")).alias("no"), "attempt", "sequence", "score", "accepted")).alias("r"))

@@ -14,7 +14,9 @@ def hash_order(seed: str, *keys: Column) -> Column:
 
 
 def sampled(rows: DataFrame, n: int, seed: str, group: list[str], key: str) -> DataFrame:
-    """n rows of each group, in hash order."""
+    """n rows of each group, in hash order; without a group, of the table, as a distributed top-n."""
+    if not group:
+        return rows.orderBy(hash_order(seed, F.col(key)), key).limit(n)
     order = Window.partitionBy(*group).orderBy(hash_order(seed, F.col(key)), key)
     return rows.withColumn("sample_rank", F.row_number().over(order)).filter(F.col("sample_rank") <= n)
 
@@ -34,13 +36,17 @@ def weighted_order(rows: DataFrame, seed: str, group: str, key: str, weight: str
 def block_shuffled(rows: DataFrame, index: str, size: int, seed: str) -> DataFrame:
     """new_pos: blocks in hash order, and rows in hash order inside them, without a total sort.
 
-    Per-block counts, a row for each block, give the blocks' offsets; a window inside each block the rest.
+    Offsets come in two levels: over the first digits of the blocks' hashes, 4,096 rows at most, and over the
+    blocks of equal digits; a window inside each block gives the rest.
     """
     block = F.floor(F.col(index) / size).cast("long")
     rows = rows.withColumn("block", block)
-    counts = rows.groupBy("block").agg(F.count("*").alias("n"))
-    order = Window.orderBy(hash_order(seed, F.col("block")), "block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("block", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
+    counts = rows.groupBy("block").agg(F.count("*").alias("n")).withColumn("h", hash_order(seed, F.col("block"))).withColumn("top", F.substring("h", 1, 3))
+    above = counts.groupBy("top").agg(F.sum("n").alias("m"))
+    up_to = Window.orderBy("top").rowsBetween(Window.unboundedPreceding, -1)
+    above = above.select("top", F.coalesce(F.sum("m").over(up_to), F.lit(0)).alias("above"))
+    order = Window.partitionBy("top").orderBy("h", "block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.join(F.broadcast(above), "top").select("block", (F.col("above") + F.coalesce(F.sum("n").over(order), F.lit(0))).alias("before"))
     inside = Window.partitionBy("block").orderBy(hash_order(seed, F.col("block"), F.col(index)), index)
     return rows.join(offsets, "block").withColumn("new_pos", F.col("before") + F.row_number().over(inside) - 1).drop("before")
 

@@ -149,12 +149,9 @@ def superposition(spark, sf):
 
 def similarity_max_prompt(spark, sf):
     """Distinct rows of even id against those of odd id: the largest similarity of each, then per alignment."""
-    rows = A.distinct_rows(aligned(spark, sf).withColumn("msa_id", F.concat_ws("/", "msa_id", F.pmod("row_id", F.lit(2)).cast("string"))))
-    split = rows.select(F.substring_index("msa_id", "/", 1).alias("k"), F.substring_index("msa_id", "/", -1).alias("half"), "aln").withColumnRenamed("k", "msa_id")
-    a = split.filter("half = '0'").select("msa_id", F.col("aln").alias("sample"))
-    b = split.filter("half = '1'").select("msa_id", F.col("aln").alias("prompt"))
-    pairs = a.join(b, "msa_id").withColumn("s", I.longest_ungapped_similarity(F.col("sample"), F.col("prompt")))
-    best = pairs.groupBy("msa_id", "sample").agg(F.max("s").alias("best"))
+    rows = aligned(spark, sf)
+    samples = A.distinct_rows(rows.filter(F.pmod("row_id", F.lit(2)) == 0)).select("msa_id", "row_id", "aln")
+    best = A.best_similarity(samples, rows.filter(F.pmod("row_id", F.lit(2)) == 1))
     return best.groupBy("msa_id").agg(F.count("*").alias("samples"), *[F.round(f("best"), 9).alias(n) for n, f in (("least", F.min), ("mean", F.avg), ("most", F.max))])
 
 

@@ -94,8 +94,7 @@ def evaluation_report(spark, sf):
 
 def fasta_subsample(spark, sf):
     """1000 lines of two-line records: 500 records in hash order."""
-    rows = sequences(spark, sf).withColumn("file", F.lit("all"))
-    return S.sampled(rows, 1000 // 2, "fasta", ["file"], "accession").select("accession", F.md5("sequence").alias("sequence"))
+    return S.sampled(sequences(spark, sf), 1000 // 2, "fasta", [], "accession").select("accession", F.md5("sequence").alias("sequence"))
 
 
 def prompt_members(spark, sf):
