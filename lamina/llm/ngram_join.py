@@ -264,7 +264,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int, key: str, text: str) -
     rows = rows.join(wanted, rows["_id"].eqNullSafe(wanted["doc_id"]) & (rows["_key"] == wanted["text_key"])).select("node", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
+            # Equal rows of documents are the same representative: once a task is enough, links are a set.
+            batch = batch.filter(pa.array([not (n in seen or seen.add(n)) for n in batch.column(0).to_pylist()], pa.bool_()))
             own = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
             ends = np.cumsum([0] + [len(s) for s in own])
             values = pa.array(np.concatenate(own).astype(np.int64) if own else [], pa.int64())
@@ -275,8 +278,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int, key: str, text: str) -
             columns = [batch.column(0), pa.array(np.diff(ends), pa.int64()), pa.ListArray.from_arrays(at, sketches), lists]
             yield pa.record_batch(columns, ["node", "n", "sketch", "shingles"])
 
-    # Rows with equal id and text would be the same representative twice.
-    return rows.mapInArrow(sets, "node long, n long, sketch array<tinyint>, shingles array<long>").dropDuplicates(["node"])
+    return rows.mapInArrow(sets, "node long, n long, sketch array<tinyint>, shingles array<long>")
 
 
 #: Cells of a set's sketch: how many shingles fall into each, at most 127.
@@ -300,9 +302,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     total = F.col("n_a") + F.col("n_b")
     apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda t, d: t + d)
     near = pairs.join(side("a", "sketch"), "a").join(side("b", "sketch"), "b")
-    near = staged(near.filter(apart * (100 + percent) <= total * (100 - percent)).select("a", "b"), "near")
+    near = staged(near.filter(apart * (100 + percent) <= total * (100 - percent)).select("a", "b").distinct(), "near")
     both = F.size(F.array_intersect("shingles_a", "shingles_b")).cast("long")
-    known = near.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b")
+
+    def needed(pair_end: str) -> DataFrame:
+        """The sets of the pairs' ends; with few enough pairs the others go before the shuffle."""
+        ids = near.select(pair_end).distinct()
+        return side(pair_end, "shingles").join(F.broadcast(ids) if few else ids, pair_end, "left_semi")
+
+    few = near.count() <= MOST_BROADCAST
+    known = near.join(needed("b"), "b").join(needed("a"), "a")
     return known.filter(100 * both >= percent * (total - both)).select("a", "b")
 
 
