@@ -178,7 +178,7 @@ def kmer_cluster(spark, sf):
 
 
 def _orders(spark, sf):
-    return table(spark, sf, "orders").groupBy("o_orderpriority", "o_orderstatus", F.col("o_custkey")).agg(F.max("o_totalprice").alias("value"))
+    return table(spark, sf, "orders").groupBy("o_orderpriority", "o_orderstatus", F.col("o_custkey")).agg(F.floor(F.max("o_totalprice")).cast("double").alias("value"))
 
 
 def results_upsert(spark, sf):
@@ -195,7 +195,7 @@ def resume_antijoin(spark, sf):
 
 def metric_means(spark, sf):
     rows = _orders(spark, sf).select(F.col("o_orderpriority").alias("evaluator"), F.col("o_orderstatus").alias("sampler"), F.lit("price").alias("metric"), "value")
-    return E.metric_means(rows).withColumn("mean_value", F.round("mean_value", 3))
+    return E.metric_means(rows).withColumn("mean_value", F.round("mean_value", 5))
 
 
 def merged_statistics(spark, sf):
@@ -420,8 +420,8 @@ ORACLES = {
     "results_upsert": """WITH o AS (SELECT o_orderpriority, o_custkey, max_by(o_totalprice, o_orderkey) FILTER (o_orderkey % 3 = 0) AS n, max_by(o_totalprice, o_orderkey) FILTER (o_orderkey % 3 <> 0) AS p FROM orders GROUP BY ALL)
         SELECT o_orderpriority, o_custkey, coalesce(n, p) AS value FROM o""",
     "resume_antijoin": f"WITH {SEQS} SELECT doc_id, family_id FROM s WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
-    "metric_means": """WITH v AS (SELECT o_orderpriority, o_orderstatus, o_custkey, max(o_totalprice) AS value FROM orders GROUP BY ALL)
-        SELECT o_orderpriority AS evaluator, o_orderstatus AS sampler, 'price' AS metric, count(*) AS instances, round(avg(value), 3) AS mean_value FROM v GROUP BY ALL""",
+    "metric_means": """WITH v AS (SELECT o_orderpriority, o_orderstatus, o_custkey, floor(max(o_totalprice)) AS value FROM orders GROUP BY ALL)
+        SELECT o_orderpriority AS evaluator, o_orderstatus AS sampler, 'price' AS metric, count(*) AS instances, round(round(avg(value), 9), 5) AS mean_value FROM v GROUP BY ALL""",
     "merged_statistics": f"WITH {SEQS} SELECT coalesce(s.doc_id, l.doc_id) AS generated_id, seq_len AS coverage, quality AS identity FROM (SELECT * FROM s WHERE doc_id % 2 = 0) s FULL JOIN labels l ON s.doc_id = l.doc_id",
     "spearman_by_group": f"""WITH v AS (SELECT lang AS g, n_chars AS x, quality AS y FROM documents JOIN labels USING (doc_id)), {_RANKS}
         SELECT g AS lang, count(*) AS n, round(CASE WHEN stddev_pop(rx) > 0 AND stddev_pop(ry) > 0 THEN corr(rx, ry) ELSE 0 END, 9) AS spearman FROM r GROUP BY g""",
