@@ -402,10 +402,8 @@ def _linked_in_blocks(large: DataFrame, sets: DataFrame, percent: int) -> DataFr
     return rows.join(sets.select("node", "shingles"), "node").groupBy("unit", "x", "y").applyInArrow(forest, "a long, b long")
 
 
-def link_components(
-    docs: DataFrame, join: JaccardJoin = JaccardJoin(), key: str = "doc_id", text: str = "text", report: Callable[..., None] | None = None
-) -> DataFrame:
-    """doc_id, text_key, n_shingles, component_id for every row of docs."""
+def _owned(docs: DataFrame, join: JaccardJoin, key: str, text: str, report: Callable[..., None] | None = None) -> DataFrame:
+    """doc_id, text_key, n_shingles, node and _c, the key of the component (null for empty sets), of every row of docs."""
     spark = docs.sparkSession
     heads = staged(headers(docs, join.width, key, text), "headers")
     blocks = _blocks(docs, join, 4 * partitions(spark), text)
@@ -454,7 +452,14 @@ def link_components(
     if more.limit(1).count():
         labels = connected_components(links.unionByName(more))
     owned = heads.join(labels, "node", "left").withColumn("_c", F.coalesce("component", "node"))
-    owned = staged(owned.select("doc_id", "text_key", "n_shingles", "node", "_c"), "owned")
+    return staged(owned.select("doc_id", "text_key", "n_shingles", "node", "_c"), "owned")
+
+
+def link_components(
+    docs: DataFrame, join: JaccardJoin = JaccardJoin(), key: str = "doc_id", text: str = "text", report: Callable[..., None] | None = None
+) -> DataFrame:
+    """doc_id, text_key, n_shingles, component_id for every row of docs."""
+    owned = _owned(docs, join, key, text, report)
     least = owned.filter("_c is not null").groupBy("_c").agg(F.min("doc_id").alias("component_id"))
     out = owned.join(least, "_c", "left")
     return out.select("doc_id", "text_key", "n_shingles", F.when(F.col("_c").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
@@ -468,12 +473,15 @@ def released(spark) -> None:
 def one_of_each(docs: DataFrame, join: JaccardJoin, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, with their columns, that are the first of their component.
 
-    The document whose id is the component's id stays, of several rows with that id the one with the
-    smallest text hash, and of equal rows one; so do documents with empty sets, which are like no other.
+    The row with the smallest id stays, null ids last, of several rows with that id the one with the smallest
+    text hash, and of rows equal in id and text one. Documents with empty sets are like no other: of them only
+    rows equal in id and text go.
     """
-    found = link_components(docs, join, key, text)
-    keep = found.filter("doc_id = component_id or n_shingles = 0 or component_id is null")
-    keep = keep.groupBy("doc_id", "n_shingles", "component_id").agg(F.min("text_key").alias("text_key"), F.count("*").alias("rows"))
+    owned = _owned(docs, join, key, text)
+    rows = owned.groupBy("_c", "doc_id", "text_key").agg(F.count("*").alias("rows"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "rows")).alias("first")
+    keep = rows.filter("_c is not null").groupBy("_c").agg(first).select("first.doc_id", "first.text_key", "first.rows")
+    keep = staged(keep.unionByName(rows.filter("_c is null").drop("_c")), "keep")
     marks = keep.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
     if marks.count() <= MOST_BROADCAST:
         marks = F.broadcast(marks)

@@ -81,6 +81,23 @@ def test_one_of_each(odd_docs):
     assert {1, 2, 3, 8, 9, 11, 12, 13, 100, 139} <= set(ids) and 10 not in ids
 
 
+def test_one_of_each_component_whatever_the_ids(spark):
+    rng = random.Random(11)
+    texts = [" ".join(words(rng, 40)) for _ in range(6)]
+    near = texts[0] + " more"  # one shingle more, linked
+    rows = [(None, t) for t in texts[:3]] + [(7, t) for t in texts[3:]]  # unrelated, of one size, no id or one id
+    rows += [(None, near), (7, texts[3] + " more"), (20, texts[1]), (None, texts[2])]
+    rows += [(None, None), (None, ""), (None, " "), (7, ""), (8, ""), (8, "")]
+    docs = as_table(spark, [(i, t, "en", "a") for i, t in rows]).repartition(3)
+    kept = [(r.doc_id, r.text) for r in N.one_of_each(docs, N.JaccardJoin(width=5, percent=80)).collect()]
+    assert len(kept) == len(set(kept)) == 11
+    assert sum(t in (texts[0], near) for _, t in kept) == 1
+    assert [i for i, t in kept if t == texts[1]] == [20]
+    assert (None, texts[2]) in kept and {(7, t) for t in texts[4:]} <= set(kept)
+    assert sum(t in (texts[3], texts[3] + " more") for _, t in kept) == 1
+    assert {(None, None), (None, ""), (None, " "), (7, ""), (8, "")} <= set(kept)
+
+
 def test_empty_table(no_docs):
     assert N.link_components(no_docs).count() == 0
 
