@@ -50,7 +50,10 @@ BOILERPLATE_WORDS = frozenset(
     "header masthead menu nav navbar navigation newsletter notice notices notification popup promo promoted recommended related replies reply "
     "share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
-#: Paths are smoothed by weight exp(-(steps between them)**2 / 2).
+#: Paths are smoothed by weight exp(-(steps between them)**2 / 2), up to 4 steps; steps are tags to leave and enter.
+_WEIGHTS = [math.exp(-steps * steps / 2) for steps in range(5)]
+#: Ratios are summed as whole multiples of 1 / _FINE, so that differences of sums are exact.
+_FINE = 1 << 40
 _WORDS = re.compile(r"[A-Za-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -140,14 +143,19 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     return out
 
 
-def _steps(a: tuple[str, ...], b: tuple[str, ...]) -> int:
-    """Tags to leave and enter on the way from one path to another."""
-    same = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        same += 1
-    return len(a) + len(b) - 2 * same
+def _totals_below(ratios: dict[tuple[str, ...], tuple[int, int]]) -> dict[tuple[str, ...], list[list[int]]]:
+    """For each node of the tree of paths, the number, text and punctuation of the paths at each depth below it."""
+    out: dict[tuple[str, ...], list[list[int]]] = {}
+    for path, (length, marks) in ratios.items():
+        for down in range(min(len(path), len(_WEIGHTS) - 1) + 1):
+            node = path[: len(path) - down]
+            if node not in out:
+                out[node] = [[0, 0, 0] for _ in _WEIGHTS]
+            row = out[node][down]
+            row[0] += 1
+            row[1] += length
+            row[2] += marks
+    return out
 
 
 def path_scores(found: list[tuple[tuple[str, ...], str, int]]) -> dict[tuple[str, ...], float]:
@@ -158,17 +166,22 @@ def path_scores(found: list[tuple[tuple[str, ...], str, int]]) -> dict[tuple[str
         row[0] += max(0, len(text) - linked)
         row[1] += len(_PUNCTUATION.findall(text)) * (len(text) > linked)
         row[2] += 1
-    ratios = {path: (chars / n, marks / n) for path, (chars, marks, n) in sums.items()}
-    out = {}
+    ratios = {path: (round(chars / n * _FINE), round(marks / n * _FINE)) for path, (chars, marks, n) in sums.items()}
+    below, out = _totals_below(ratios), {}
     for path in ratios:
         total = length = marks = 0.0
-        near = [(other, _steps(path, other)) for other in (ratios if len(ratios) <= 512 else [path])]
-        for other, steps in near:
-            if steps <= 4:
-                weight = math.exp(-steps * steps / 2)
-                total += weight
-                length += weight * ratios[other][0]
-                marks += weight * ratios[other][1]
+        for up in range(min(len(path), len(_WEIGHTS) - 1) + 1):
+            here = below[path[: len(path) - up]]
+            inside = below[path[: len(path) - up + 1]] if up else None  # counted at a smaller distance
+            for down in range(len(_WEIGHTS) - up):
+                n, chars, points = here[down]
+                if inside and down:
+                    n, chars, points = n - inside[down - 1][0], chars - inside[down - 1][1], points - inside[down - 1][2]
+                if n:
+                    weight = _WEIGHTS[up + down]
+                    total += weight * n
+                    length += weight * (chars / _FINE)
+                    marks += weight * (points / _FINE)
         out[path] = (1 + length / total) * (1 + marks / total) * sums[path][2]
     return out
 

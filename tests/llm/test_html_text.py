@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import math
+import os
+import random
+
 import pytest
 
 from lamina.llm import html_text as H
@@ -45,6 +49,34 @@ def test_paths_choose_the_container_without_an_article():
     assert H.main_text(page(body)) == f"Title {PROSE.strip()} {PROSE.strip()} End."
 
 
+@pytest.mark.parametrize("short", [400, 600, 3000])
+def test_blocks_beside_a_long_one_stay_at_any_number_of_paths(short):
+    long = "word and more words, " * 1000
+    divs = [f"<div>block {i} has some words, and then a few others. {'x' * 60}</div>" for i in range(short)]
+    divs.insert(short // 2, f"<div>{long}</div>")
+    assert H.main_text("<html><body>" + "".join(divs) + "</body></html>").count("has some words") == short
+
+
+def test_scores_are_those_of_all_pairs_of_paths():
+    rng, found = random.Random(4), []
+    for _ in range(1500):
+        path = tuple(f"{rng.choice(['div', 'td'])}#{rng.randrange(4)}" for _ in range(rng.randrange(8)))
+        text = "a, " * rng.randrange(1, 40)
+        found.append((path, text, rng.choice([0, 0, len(text)])))
+    rows = {}
+    for path, text, linked in found:
+        rows.setdefault(path, []).append((len(text) - linked, H._PUNCTUATION.findall(text) if linked < len(text) else []))
+    ratios = {p: (sum(n for n, _ in r) / len(r), sum(len(m) for _, m in r) / len(r)) for p, r in rows.items()}
+    assert len(ratios) > 512
+    scores = H.path_scores(found)
+    for p in rng.sample(sorted(ratios), 100):
+        near = [(len(p) + len(q) - 2 * len(os.path.commonprefix([p, q])), r) for q, r in ratios.items()]
+        near = [(math.exp(-d * d / 2), r) for d, r in near if d <= 4]
+        total = sum(w for w, _ in near)
+        length, marks = (sum(w * r[i] for w, r in near) / total for i in (0, 1))
+        assert scores[p] == pytest.approx((1 + length) * (1 + marks) * len(rows[p]), rel=1e-9)
+
+
 def test_whole_table(spark):
     rows = [(1, "u", page(f"<article><p>{PROSE * 2000}</p></article>")), (1, "u", None), (None, None, "<p>x")]
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, text string")
