@@ -30,7 +30,8 @@ _TOKEN = re.compile(
 #: A tag whose quotes do not match: it ends at the next mark.
 _LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _BEGINS_TAG = re.compile(r"</?[a-zA-Z]")
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
+#: Name and value of one attribute; a quoted value whose quote does not close runs to the end of the tag.
+_ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？]")
 
 #: Elements whose content is not text, up to their end tag.

@@ -49,6 +49,37 @@ def test_paths_choose_the_container_without_an_article():
     assert H.main_text(page(body)) == f"Title {PROSE.strip()} {PROSE.strip()} End."
 
 
+@pytest.mark.parametrize(
+    "attributes,kept",
+    [
+        ("style='overflow:hidden'", True),
+        ('title="the hidden truth"', True),
+        ('data-id="menu"', True),
+        ("data-class=ad x-role=menu", True),
+        ("title='say id=\"menu\"'", True),
+        ("alt=hidden data-hidden", True),
+        ("aria-hidden=false", True),
+        ("title=\"x\"class='ad'", False),
+        ("data-x='1' HIDDEN", False),
+        ("hidden=''", False),
+        ("a=b/ ID = menu", False),
+        ("style='overflow:hidden' role=navigation", False),
+        ("aria-hidden='true'", False),
+    ],
+)
+def test_only_whole_attribute_names_count(attributes, kept):
+    assert H.main_text(f"<article><p>a</p><div {attributes}>b</div></article>") == ("a b" if kept else "a")
+    assert H.main_text(f"<article><p>a <span {attributes}>b</span></p></article>") == ("a b" if kept else "a")
+
+
+def test_a_quote_that_does_not_close_holds_no_attributes():
+    assert H.main_text('<article><p title="the hidden truth>a</p></article>') == "a"
+
+
+def test_body_with_a_style_is_not_hidden():
+    assert H.main_text(f'<html><body style="overflow:hidden"><p>{PROSE}</p></body></html>') == PROSE.strip()
+
+
 @pytest.mark.parametrize("short", [400, 600, 3000])
 def test_blocks_beside_a_long_one_stay_at_any_number_of_paths(short):
     long = "word and more words, " * 1000
