@@ -77,12 +77,13 @@ def valid_clusters(rows: DataFrame, least_residues: int, least_members: int = 2)
     return sizes.filter((F.col("members") >= least_members) & (F.col("a") == F.col("b"))).select("cluster_id", "members")
 
 
-def kmer_candidates(queries: DataFrame, targets: DataFrame, k: int, least_shared: int, most_targets: int) -> DataFrame:
+def kmer_candidates(queries: DataFrame, targets: DataFrame, k: int, least_shared: int) -> DataFrame:
     """query_id, target_id, shared: pairs with at least so many k-mers in common; a prefilter, not an aligner.
 
-    queries and targets are (id, sequence). K-mers in more than most_targets targets say little and would
-    pair everything; pairs are counted without them, so that this is a candidate search with that stated
-    selectivity.
+    queries and targets are (id, sequence). Every k-mer counts. Those that the same targets hold are one
+    group, so that a passage of many targets costs a row for each query and target instead of one for each of
+    its k-mers, and queries whose k-mers cannot reach least_shared with any target go before they meet
+    targets. Groups are named by their size and two 40-bit sums of hashes.
     """
 
     def kmers(rows: DataFrame, name: str) -> DataFrame:
@@ -90,7 +91,16 @@ def kmer_candidates(queries: DataFrame, targets: DataFrame, k: int, least_shared
         at = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.expr("cast(array() as array<int>)"))
         return rows.select(F.col("id").alias(name), F.explode(F.array_distinct(F.transform(at, lambda i: F.substr(F.col("sequence"), i, F.lit(k))))).alias("kmer"))
 
-    t = kmers(targets, "target_id")
-    rare = t.groupBy("kmer").agg(F.count("*").alias("n")).filter(F.col("n") <= most_targets).select("kmer")
-    pairs = kmers(queries, "query_id").join(t.join(rare, "kmer"), "kmer")
-    return pairs.groupBy("query_id", "target_id").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least_shared)
+    def summed(seed: int) -> Column:
+        return F.sum(F.pmod(F.xxhash64(F.lit(seed), "target_id", "times"), F.lit(1 << 40)))
+
+    held = kmers(targets, "target_id").groupBy("kmer", "target_id").agg(F.count("*").alias("times"))
+    held_by = held.groupBy("kmer").agg(F.struct(F.count("*").alias("n"), summed(1).alias("x"), summed(2).alias("y")).alias("grp"), F.max("times").alias("most"))
+    first = held_by.groupBy("grp").agg(F.min("kmer").alias("kmer"))
+    members = held.join(first, "kmer").select("grp", "target_id", "times")
+    found = kmers(queries, "query_id").join(held_by, "kmer").groupBy("query_id", "grp").agg(F.count("*").alias("own"), F.max("most").alias("most"))
+    # A query has a row for each group at most, repeated and null ids too.
+    reach = F.sum(F.col("own") * F.col("most")).over(Window.partitionBy("query_id"))
+    found = found.withColumn("reach", reach).filter(F.col("reach") >= least_shared).select("query_id", "grp", "own")
+    pairs = found.join(members, "grp").groupBy("query_id", "target_id").agg(F.sum(F.col("own") * F.col("times")).alias("shared"))
+    return pairs.filter(F.col("shared") >= least_shared)

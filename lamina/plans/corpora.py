@@ -171,7 +171,7 @@ def kmer_cluster(spark, sf):
     """Benchmark items against all documents by shared words of 12 letters."""
     docs = sequences(spark, sf).select(F.col("doc_id").alias("id"), "sequence")
     bench = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("sequence"))
-    return P.kmer_candidates(docs, bench, 12, 20, 5)
+    return P.kmer_candidates(docs, bench, 12, 20)
 
 
 # Evaluation and scoring

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -173,3 +175,23 @@ def test_superposition(spark):
     turned = [[-y, x, z + 5] for x, y, z in xs]
     rows = spark.createDataFrame([(1, xs, turned)], "k long, xs array<array<double>>, ys array<array<double>>")
     assert A.superposition_rmsd(rows, "k").first().rmsd == pytest.approx(0, abs=1e-6)
+
+
+def test_kmers_of_many_targets_count(spark):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(n))
+    passage, stem = word(40), word(16)
+    targets = [(i, word(20) + passage + word(20)) for i in range(9)] + [(i, stem + word(50)) for i in range(20, 30)] + [(40, None), (41, "AC"), (3, passage), (50, passage[:25] + word(30))]
+    queries = [(1, word(50) + passage), (2, passage[:31]), (3, passage[:30]), (4, stem + word(30)), (5, stem + targets[9][1][16:40]), (None, passage), (None, passage), (6, word(60))]
+
+    def kmers(text):
+        return {text[i : i + 12] for i in range(len(text) - 11)} if text else set()
+
+    expected = {}
+    for q, a in queries:
+        for t, b in targets:
+            expected[q, t] = expected.get((q, t), 0) + len(kmers(a) & kmers(b))
+    expected = {pair: n for pair, n in expected.items() if n >= 20}
+    got = T.kmer_candidates(spark.createDataFrame(queries, "id long, sequence string"), spark.createDataFrame(targets, "id long, sequence string"), 12, 20)
+    assert {(r.query_id, r.target_id): r.shared for r in got.collect()} == expected
+    assert {(2, i) for i in range(9)} <= set(expected)
