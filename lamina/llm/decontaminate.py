@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import small_text_batches
+from lamina.llm.common import text_batches
 
 WINDOW = 10
 BLOCK = 3
@@ -119,13 +119,12 @@ OUT = "doc_id long, n_words long, spans array<struct<a:int,b:int>>, items array<
 def hits(docs: DataFrame, items: list[tuple[int | None, str]], key: str = "doc_id", text: str = "text", only_hit: bool = False) -> DataFrame:
     """doc_id, n_words, spans of hit words, ids of occurring items, and a key of the text, for one block of items."""
     spark = docs.sparkSession
-    small_text_batches(spark)
     handle = spark.sparkContext.broadcast(items)  # at most about BLOCK_BYTES of text
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = handle.value
         tools = searchers([(i, t) for i, (_, t) in enumerate(own)])
-        for batch in batches:
+        for batch in text_batches(batches, 1):
             counts, spans, found = [], [], []
             for body in batch.column(1).to_pylist():
                 words = words_of(body)
@@ -190,7 +189,6 @@ def digest(scanned: DataFrame) -> DataFrame:
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, text: str = "text") -> DataFrame:
     """The rows of docs, with their columns, in which no benchmark window occurs."""
     spark = docs.sparkSession
-    small_text_batches(spark)
     kept, schema = docs, docs.schema
     at = docs.columns.index(text)
     for items in benchmark_blocks(benchmark, block_bytes):
@@ -198,7 +196,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int
 
         def clean(batches: Iterator[pa.RecordBatch], handle=handle) -> Iterator[pa.RecordBatch]:
             tools = searchers([(i, t) for i, (_, t) in enumerate(handle.value)])
-            for batch in batches:
+            for batch in text_batches(batches, at):
                 hit = [any(next(s.find(words), None) for s in tools) for words in map(words_of, batch.column(at).to_pylist())]
                 yield batch.filter(pa.array([not x for x in hit], pa.bool_()))
 

@@ -12,11 +12,14 @@ projections in no more than margin partitions can leave those out; other sets re
 signatures of the same band under a second hash.
 
 Documents with equal sets are one node, so that copies cost one row a task. Signatures travel in binary
-blocks; each bucket of signatures gives its groups of two and more nodes. In rounds, each node is compared
-with the group centre that it shares most signatures with, and the links' components are formed; at last
-all pairs of a group whose nodes are still in different components are compared, those of large groups in
-blocks inside a task, so that no link between components is lost and groups of near copies are not
-expanded to pairs. Sets are compared exactly, as 64-bit shingle hashes.
+blocks, in as many buckets as keep a bucket small; a signature that is frequent in a block travels once for
+the block, as the name of a local group. Each bucket gives its groups of two and more nodes. In rounds, each
+node is compared with one member of the groups it is in, and the links' components are formed. What is left
+are groups with nodes in different components: they meet in tasks of a bounded number of sets, which look at
+pairs across components only, and of those at pairs that share one of their rarest shingles (two sets that
+link share one of the n - ceil(percent * n / 100) + 1 rarest of n). A task returns a forest of the links that
+it finds, so that no link between components is lost and no group is expanded to pairs. Sets are compared
+exactly, as 64-bit shingle hashes. The plan is the same at every size.
 
 Defined cases: null, empty and blank texts have an empty set and are components of their own (component_id
 is the own doc_id); fewer words than a shingle make one shingle of the whole; a null doc_id takes part and
@@ -36,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import dropped, partitions, small_text_batches, staged
+from lamina.llm.common import dropped, partitions, staged, text_batches
 from lamina.llm.components import connected_components
 
 _U = np.uint64
@@ -157,10 +160,9 @@ def _band(shingles: np.ndarray, join: JaccardJoin, band: int, k: int, seed: int)
 
 def headers(docs: DataFrame, width: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text_key, n_shingles and node (null for empty sets) of every row."""
-    small_text_batches(docs.sparkSession)
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_batches(batches, 2):
             sets = [shingle_set(t, width) for t in batch.column(2).to_pylist()]
             sizes, nodes = pa.array([len(s) for s in sets], pa.int64()), pa.array([set_digest(s) if len(s) else None for s in sets], pa.int64())
             yield pa.record_batch([batch.column(0), batch.column(1), sizes, nodes], ["doc_id", "text_key", "n_shingles", "node"])
@@ -169,37 +171,92 @@ def headers(docs: DataFrame, width: int, key: str = "doc_id", text: str = "text"
     return rows.mapInArrow(heads, "doc_id long, text_key long, n_shingles long, node long")
 
 
-#: Signatures and nodes in one binary block.
-_BLOCK_RECORDS, _BLOCK_NODES = 1_000_000, 60_000
+#: Signatures and nodes in one binary block; a block has a 16-bit number for each of its members.
+_BLOCK_RECORDS, _BLOCK_NODES = 1_000_000, 30_000
+#: A signature that so many nodes of a block share travels once, for the block's group of them.
+HOT_RUN = 512
+#: Bytes of signatures that a task gathers in one bucket; a worker needs about four times that.
+BUCKET_BYTES = 64 << 20
+
+
+def bucket_count(heads: DataFrame, join: JaccardJoin) -> int:
+    """Buckets for the signatures of these nodes, by their expected bytes."""
+    large = 4096
+    each = sum((join.needed(k) + join.margin(k)) * join.parts for _, k in join.bands_of(large)) / large
+    nodes, shingles = heads.filter("node is not null").agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
+    return max(partitions(heads.sparkSession), -(-int(10 * (each * shingles + 8 * nodes)) // BUCKET_BYTES))
+
+
+def _names(node: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A name for each run of nodes: equal sets of nodes have equal names."""
+    with np.errstate(over="ignore"):
+        return np.add.reduceat(mixed(node.astype(np.uint64), 21), starts) + mixed(sizes.astype(np.uint64), 22)
+
+
+def _runs(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal signatures begin in sorted ones, and how long they are."""
+    starts = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else np.empty(0, np.int64)
+    return starts, np.diff(np.append(starts, len(sig)))
+
+
+def _named_groups(node: np.ndarray, size: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the runs, and rows (grp, node, n, times) of the distinct groups that they form."""
+    names = _names(node, starts, lengths)
+    _, first, times = np.unique(names, return_index=True, return_counts=True)
+    at = np.concatenate([np.arange(starts[i], starts[i] + lengths[i]) for i in first.tolist()])
+    each = lengths[first]
+    return names, np.stack([np.repeat(names[first], each).astype(np.int64), node[at], size[at], np.repeat(times, each)], axis=1)
 
 
 def _blocks(docs: DataFrame, join: JaccardJoin, buckets: int, text: str) -> DataFrame:
-    """bucket and a block: node count, nodes, a 16-bit node number for each signature, the signatures."""
-    small_text_batches(docs.sparkSession)
+    """bucket, local and a block: members, their set sizes, a member number for each signature, the signatures.
 
-    def flushed(nodes: list[int], found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    A member is a node, or with size -1 a group of nodes of this block. Rows with local set hold the
+    rows (grp, node, n, times) of such groups instead.
+    """
+
+    def flushed(nodes: list[int], sizes: list[int], found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if not nodes:
             return
         every = np.concatenate(found)
-        owner = np.repeat(np.arange(len(nodes), dtype=np.uint16), [len(x) for x in found])
+        owner = np.repeat(np.arange(len(nodes)), [len(x) for x in found])
+        names, own = np.array(nodes, dtype=np.int64), np.array(sizes, dtype=np.int32)
+        order = np.argsort(every, kind="stable")
+        every, owner = every[order], owner[order]
+        starts, lengths = _runs(every)
+        hot = lengths >= HOT_RUN
+        ids, local, payloads = [], [], []
+        if hot.any():
+            inside, rows = _named_groups(names[owner], own[owner].astype(np.int64), starts[hot], lengths[hot])
+            for at in range(0, len(rows), 100_000):
+                ids.append(int(_U(rows[at, 0]) % _U(buckets)) if rows[at, 0] >= 0 else int(-rows[at, 0] % buckets))
+                local.append(True)
+                payloads.append(rows[at : at + 100_000].tobytes())
+            single = np.ones(len(every), dtype=bool)
+            for a, n in zip(starts[hot].tolist(), lengths[hot].tolist(), strict=True):
+                single[a : a + n] = False
+            known, which = np.unique(inside, return_inverse=True)
+            every = np.concatenate([every[single], every[starts[hot]]])
+            owner = np.concatenate([owner[single], len(names) + which])
+            names, own = np.concatenate([names, known.astype(np.int64)]), np.concatenate([own, np.full(len(known), -1, np.int32)])
         bucket = ((every >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        names, ids, payloads = np.array(nodes, dtype=np.int64), [], []
-        for b in range(buckets):
-            those = order[cuts[b] : cuts[b + 1]]
-            if len(those):
-                used, local = np.unique(owner[those], return_inverse=True)
-                head = np.array([len(used)], dtype=np.int64).tobytes() + names[used].tobytes()
-                ids.append(b)
-                payloads.append(head + every[those].tobytes() + local.astype(np.uint16).tobytes())
+        every, owner, bucket = every[order], owner[order], bucket[order]
+        starts, lengths = _runs(bucket)
+        for a, n in zip(starts.tolist(), lengths.tolist(), strict=True):
+            used, number = np.unique(owner[a : a + n], return_inverse=True)
+            head = np.array([len(used)], dtype=np.int64).tobytes() + names[used].tobytes() + own[used].tobytes()
+            ids.append(int(bucket[a]))
+            local.append(False)
+            payloads.append(head + every[a : a + n].tobytes() + number.astype(np.uint16).tobytes())
         for at in range(0, len(ids), 64):
-            yield pa.record_batch([pa.array(ids[at : at + 64], pa.int32()), pa.array(payloads[at : at + 64], pa.binary())], ["bucket", "block"])
+            part = slice(at, at + 64)
+            yield pa.record_batch([pa.array(ids[part], pa.int32()), pa.array(local[part], pa.bool_()), pa.array(payloads[part], pa.binary())], ["bucket", "local", "block"])
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        nodes, found, records = [], [], 0
-        for batch in batches:
+        nodes, sizes, found, records = [], [], [], 0
+        for batch in text_batches(batches, 0):
             for body in batch.column(0).to_pylist():
                 shingles = shingle_set(body, join.width)
                 node = set_digest(shingles) if len(shingles) else None
@@ -208,64 +265,77 @@ def _blocks(docs: DataFrame, join: JaccardJoin, buckets: int, text: str) -> Data
                 seen.add(node)
                 own = signatures(shingles, join)
                 nodes.append(node)
+                sizes.append(len(shingles))
                 found.append(own)
                 records += len(own)
                 if records >= _BLOCK_RECORDS or len(nodes) >= _BLOCK_NODES:
-                    yield from flushed(nodes, found)
-                    nodes, found, records = [], [], 0
-        yield from flushed(nodes, found)
+                    yield from flushed(nodes, sizes, found)
+                    nodes, sizes, found, records = [], [], [], 0
+        yield from flushed(nodes, sizes, found)
+
+    return docs.select(F.col(text).alias("text")).mapInArrow(signed, "bucket int, local boolean, block binary")
+
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(signed, "bucket int, block binary")
+_GROUPS = "grp long, node long, n long, times long"
 
 
 def _groups(table: pa.Table) -> pa.Table:
-    """The distinct groups of two and more nodes that share signatures of this bucket, and how many."""
-    sigs, nodes = [], []
-    for block in table.column("block").to_pylist():
+    """The distinct groups of two and more members that share signatures of this bucket, and how many."""
+    sigs, nodes, sizes, rows = [], [], [], [np.empty((0, 4), dtype=np.int64)]
+    for local, block in zip(table.column("local").to_pylist(), table.column("block").to_pylist(), strict=True):
+        if local:
+            rows.append(np.frombuffer(block, np.int64).reshape(-1, 4))
+            continue
         n = int(np.frombuffer(block, np.int64, 1)[0])
-        names = np.frombuffer(block, np.int64, n, 8)
-        records = (len(block) - 8 - 8 * n) // 10
-        sigs.append(np.frombuffer(block, np.uint64, records, 8 + 8 * n))
-        nodes.append(names[np.frombuffer(block, np.uint16, records, 8 + 8 * n + 8 * records)])
-    sig, node = np.concatenate(sigs), np.concatenate(nodes)
-    order = np.argsort(sig, kind="stable")
-    sig = sig[order]
-    same = sig[1:] == sig[:-1]
-    shared = np.zeros(len(sig), dtype=bool)
-    shared[1:] |= same
-    shared[:-1] |= same
-    sig, node = sig[shared], node[order[shared]]
-    order = np.lexsort((node, sig))
-    sig, node = sig[order], node[order]
-    if len(sig):
+        names, own = np.frombuffer(block, np.int64, n, 8), np.frombuffer(block, np.int32, n, 8 + 8 * n)
+        start = 8 + 12 * n
+        records = (len(block) - start) // 10
+        sigs.append(np.frombuffer(block, np.uint64, records, start))
+        number = np.frombuffer(block, np.uint16, records, start + 8 * records)
+        nodes.append(names[number])
+        sizes.append(own[number])
+    if sigs:
+        sig, node, size = np.concatenate(sigs), np.concatenate(nodes), np.concatenate(sizes)
+        del sigs, nodes, sizes
+        order = np.argsort(sig, kind="stable")
+        same = sig[order[1:]] == sig[order[:-1]]
+        shared = np.zeros(len(sig), dtype=bool)
+        shared[1:] |= same
+        shared[:-1] |= same
+        order = order[shared]
+        sig, node, size = sig[order], node[order], size[order]
+        order = np.lexsort((node, sig))
+        sig, node, size = sig[order], node[order], size[order]
         fresh = np.ones(len(sig), dtype=bool)
         fresh[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-        sig, node = sig[fresh], node[fresh]
-        starts = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
-        sizes = np.diff(np.append(starts, len(sig)))
-        with np.errstate(over="ignore"):
-            names = np.add.reduceat(mixed(node.astype(np.uint64), 21), starts) + mixed(sizes.astype(np.uint64), 22)
-        _, first, times = np.unique(names, return_index=True, return_counts=True)
-        times = times[sizes[first] > 1]
-        keep = np.zeros(len(starts), dtype=np.int64)
-        keep[first[sizes[first] > 1]] = times
-        rows = np.repeat(keep, sizes)
-        group, node, times = np.repeat(names, sizes)[rows > 0], node[rows > 0], rows[rows > 0]
-    else:
-        group, times = sig, node
-    return pa.table([pa.array(group.astype(np.int64)), pa.array(node), pa.array(times)], ["grp", "node", "times"])
+        sig, node, size = sig[fresh], node[fresh], size[fresh].astype(np.int64)
+        starts, lengths = _runs(sig)
+        many = lengths > 1
+        if many.any():
+            rows.append(_named_groups(node, size, starts[many], lengths[many])[1])
+    out = np.concatenate(rows)
+    return pa.table([pa.array(np.ascontiguousarray(out[:, i])) for i in range(4)], ["grp", "node", "n", "times"])
+
+
+def _united(found: DataFrame) -> DataFrame:
+    """grp, node, n, times: groups that several buckets found become one, and local groups their nodes."""
+    groups = staged(found.groupBy("grp", "node").agg(F.max("n").alias("n"), F.sum("times").alias("times")), "groups")
+    inner = groups.filter("n < 0").select("grp", F.col("node").alias("name"), F.col("times").alias("outer_times"))
+    if not inner.limit(1).count():
+        return groups
+    members = groups.filter("n >= 0").select(F.col("grp").alias("name"), "node", "n")
+    whole = groups.filter("n >= 0").unionByName(inner.join(members, "name").select("grp", "node", "n", F.col("outer_times").alias("times")))
+    return staged(whole.groupBy("grp", "node").agg(F.max("n").alias("n"), F.sum("times").alias("times")), "groups")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int, key: str, text: str) -> DataFrame:
     """node, n, sketch, shingles for the representatives in wanted (node, doc_id, text_key)."""
     rows = docs.select(F.col(key).cast("long").alias("_id"), F.xxhash64(text).alias("_key"), F.col(text).alias("text"))
-    if wanted.count() <= MOST_BROADCAST:
-        wanted = F.broadcast(wanted)
     rows = rows.join(wanted, rows["_id"].eqNullSafe(wanted["doc_id"]) & (rows["_key"] == wanted["text_key"])).select("node", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in text_batches(batches, 1):
             # Equal rows of documents are the same representative: once a task is enough, links are a set.
             batch = batch.filter(pa.array([not (n in seen or seen.add(n)) for n in batch.column(0).to_pylist()], pa.bool_()))
             own = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
@@ -285,15 +355,11 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int, key: str, text: str) -
 SKETCH_CELLS = 256
 
 
-#: Rows (24 bytes each) up to which the list of wanted representatives is broadcast; beyond, it is joined.
-MOST_BROADCAST = 1_000_000
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b of the pairs that link, by exact intersection.
+    """a, b of the pairs that link, by exact intersection, staged.
 
     Sets whose sketches differ by more than the pair's Hamming distance may do, differ by more as well; such
-    pairs go before any set is shuffled.
+    pairs, and the sets that no other pair has, go before any set is shuffled.
     """
 
     def side(pair_end: str, column: str) -> DataFrame:
@@ -306,17 +372,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     both = F.size(F.array_intersect("shingles_a", "shingles_b")).cast("long")
 
     def needed(pair_end: str) -> DataFrame:
-        """The sets of the pairs' ends; with few enough pairs the others go before the shuffle."""
-        ids = near.select(pair_end).distinct()
-        return side(pair_end, "shingles").join(F.broadcast(ids) if few else ids, pair_end, "left_semi")
+        return side(pair_end, "shingles").join(near.select(pair_end).distinct(), pair_end, "left_semi")
 
-    few = near.count() <= MOST_BROADCAST
     known = near.join(needed("b"), "b").join(needed("a"), "a")
-    return known.filter(100 * both >= percent * (total - both)).select("a", "b")
+    links = staged(known.filter(100 * both >= percent * (total - both)).select("a", "b"), "links")
+    dropped(near)
+    return links
 
 
-#: Rounds of stars before the pairs that are left are compared; the result is the same for any number.
-STAR_ROUNDS = 2
+#: Rounds of stars before the groups that are left are compared; the result is the same for any number.
+STAR_ROUNDS = 1
 
 
 def _sizes_fit(a: str, b: str, percent: int) -> Column:
@@ -328,14 +393,15 @@ def _open(groups: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return groups.withColumn("component", F.col("node"))
     named = groups.drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # Dealt anew, so that both sides of the join are plain exchanges, whose large keys are split at run time.
     still = named.groupBy("grp").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("grp")
-    return staged(named.join(still, "grp"), "open")
+    return staged(named.join(still.hint("rebalance"), "grp", "left_semi"), "open")
 
 
-def _stars(groups: DataFrame, tested: DataFrame | None, percent: int) -> DataFrame:
-    """a < b: for each node the group centre of another component with which it shares most signatures."""
-    center = groups.groupBy("grp").agg(F.min(F.struct("component", "node", "n")).alias("c")).select("grp", "c.*")
-    center = center.select("grp", F.col("component").alias("cc"), F.col("node").alias("center"), F.col("n").alias("cn"))
+def _stars(groups: DataFrame, tested: DataFrame | None, percent: int, turn: int) -> DataFrame:
+    """a < b: for each node the centre, drawn anew each turn, with which it shares most signatures, staged."""
+    drawn = F.min_by(F.struct(F.col("component").alias("cc"), F.col("node").alias("center"), F.col("n").alias("cn")), F.xxhash64("node", F.lit(turn)))
+    center = groups.groupBy("grp").agg(drawn.alias("c")).select("grp", "c.*").hint("rebalance")
     rays = groups.join(center, "grp").filter((F.col("component") != F.col("cc")) & _sizes_fit("n", "cn", percent))
     rays = rays.groupBy("node", "center").agg(F.sum("times").alias("times"))
     rays = rays.select("node", "times", F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b"))
@@ -345,114 +411,159 @@ def _stars(groups: DataFrame, tested: DataFrame | None, percent: int) -> DataFra
     return staged(best.select("best.a", "best.b").distinct(), "stars")
 
 
-#: Open groups up to this size are compared pair by pair, larger ones in blocks of this many nodes.
-SMALL_GROUP, BLOCK_NODES = 32, 1024
-#: Overlapping large groups are compared as one unit if that has at most so many nodes.
+#: Sets that a task compares, on each side.
+BLOCK_NODES = 1024
+#: Overlapping open groups are compared as one unit if that has at most so many nodes, else group by group.
 UNIT_NODES = 16 * BLOCK_NODES
 
 
-def _linked_in_blocks(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: links that connect the components of each large group, without a row for each pair.
+def _units(groups: DataFrame) -> DataFrame:
+    """unit, node, component: nodes that share an open group share a unit; staged."""
+    roots = groups.groupBy("grp").agg(F.min("node").alias("a")).hint("rebalance")
+    spokes = groups.select("grp", F.col("node").alias("b")).join(roots, "grp").select("a", "b").distinct()
+    labels = connected_components(spokes).withColumnRenamed("component", "unit")
+    nodes = groups.select("node", "component").distinct()
+    rows = staged(nodes.join(labels, "node"), "units")
+    sizes = staged(rows.groupBy("unit").agg(F.count("*").alias("nodes")).filter(F.col("nodes") > UNIT_NODES).select("unit"), "sizes")
+    if sizes.limit(1).count():
+        wide = rows.join(sizes, "unit", "left_semi").select("node")
+        by_group = groups.join(wide, "node", "left_semi").select(F.xxhash64("grp", F.lit("group")).alias("unit"), "node", "component")
+        rows = staged(rows.join(sizes, "unit", "left_anti").select("unit", "node", "component").unionByName(by_group), "units")
+    return rows.select("unit", "node", "component")
 
-    The nodes of a unit are dealt to blocks, and a task gets the sets of two blocks, of bounded number,
-    and returns a forest of the links between their components.
-    """
-    roots = large.groupBy("grp").agg(F.min("node").alias("a"))
-    units = connected_components(large.join(roots, "grp").select("a", F.col("node").alias("b"))).withColumnRenamed("component", "unit")
-    counts = units.groupBy("unit").agg(F.count("*").alias("nodes"))
-    unit = F.when(F.col("nodes") <= UNIT_NODES, F.col("unit")).otherwise(F.xxhash64("grp", F.lit("group")))
-    rows = large.join(units, "node").join(counts, "unit").select(unit.alias("unit"), "node", "component").distinct()
-    blocks = rows.groupBy("unit").agg(F.ceil(F.count("*") / BLOCK_NODES).cast("int").alias("blocks"))
-    rows = rows.join(blocks, "unit").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("unit", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "component")
 
+def _met(rows: DataFrame) -> DataFrame:
+    """unit, x, y, block, node, component: the nodes of each two blocks of a unit that have to be compared.
+
+    Components of a block's size and more have blocks of their own, which are not compared with each other;
+    smaller ones share blocks. So a node meets the nodes of other components, and of its own only if that is
+    small.
+    """
+    sizes = rows.groupBy("unit", "component").agg(F.count("*").alias("size"))
+    small = F.when(F.col("size") < BLOCK_NODES, F.col("size"))
+    sizes = sizes.withColumn("home", F.when(F.col("size") >= BLOCK_NODES, F.col("component")))
+    shared = sizes.groupBy("unit").agg(F.coalesce(F.ceil(F.sum(small) / BLOCK_NODES), F.lit(1)).alias("shared")).hint("rebalance")
+    sizes = sizes.hint("rebalance")
+    placed = rows.join(sizes.select("unit", "component", "home", "size"), ["unit", "component"]).join(shared, "unit")
+    own = F.struct(
+        F.col("home"),
+        F.when(F.col("home").isNull(), F.pmod(F.xxhash64("component"), F.col("shared")))
+        .otherwise(F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK_NODES)))
+        .cast("long").alias("part"),
+    )
+    placed = staged(placed.select("unit", own.alias("block"), "node", "component"), "placed")
+    blocks = placed.select("unit", F.col("block").alias("own")).distinct()
+    others = blocks.withColumnRenamed("own", "other")
+    differ = ~(F.col("own.home").isNotNull() & F.col("own.home").eqNullSafe(F.col("other.home")))
+    pairs = blocks.join(others, "unit").filter(differ & (F.col("own") <= F.col("other")))
+    each = pairs.select("unit", F.col("own").alias("x"), F.col("other").alias("y"), F.col("own").alias("block"))
+    each = each.unionByName(pairs.filter("own <> other").select("unit", F.col("own").alias("x"), F.col("other").alias("y"), F.col("other").alias("block")))
+    met = each.join(placed, ["unit", "block"])
+    return met.select("unit", "x", "y", (F.col("block") == F.col("x")).alias("left"), "node", "component")
+
+
+def _forest(percent: int) -> Callable[[pa.Table], pa.Table]:
     def forest(table: pa.Table) -> pa.Table:
-        nodes, parent = table.column("node").to_numpy(), {}
+        """a, b: links between the components of the table's sets, as many as join them."""
+        nodes, left = table.column("node").to_numpy(), table.column("left").to_numpy(zero_copy_only=False)
+        _, component = np.unique(table.column("component").to_numpy(), return_inverse=True)
+        lists = table.column("shingles").combine_chunks()
+        ends = lists.offsets.to_numpy()
+        sizes = np.diff(ends)
+        owner = np.repeat(np.arange(len(nodes)), sizes)
+        _, column, times = np.unique(lists.values.to_numpy()[ends[0] : ends[-1]], return_inverse=True, return_counts=True)
+        ends = ends - ends[0]
+        # The rarest shingles of each set, as many as any set that links with it must share one of.
+        order = np.lexsort((column, times[column], owner))
+        place = np.arange(len(owner)) - np.repeat(ends[:-1], sizes)
+        prefix = order[place < np.repeat(sizes + 1 - -(-percent * sizes // 100), sizes)]
+        prefix = prefix[times[column[prefix]] > 1]
+        prefix = prefix[np.argsort(column[prefix], kind="stable")]
+        met = np.zeros((len(nodes), len(nodes)), dtype=bool)
+        starts, lengths = _runs(column[prefix])
+        for a, n in zip(starts.tolist(), lengths.tolist(), strict=True):
+            those = owner[prefix[a : a + n]]
+            if n > 1 and component[those].min() != component[those].max():
+                met[np.ix_(those, those)] = True
+        met &= component[:, None] != component[None, :]
+        if not left.all():
+            met &= left[:, None] != left[None, :]
+        parent = list(range(int(component.max()) + 1))
 
         def root(x: int) -> int:
-            while parent.setdefault(x, x) != x:
+            while parent[x] != x:
                 parent[x] = x = parent[parent[x]]
             return x
 
-        lists = table.column("shingles").combine_chunks()
-        ends = lists.offsets.to_numpy()
-        values, sizes = lists.values.to_numpy(), np.diff(ends)
-        owner = np.repeat(np.arange(len(nodes)), sizes)
-        _, column, times = np.unique(values[ends[0] : ends[-1]], return_inverse=True, return_counts=True)
-        shared = times[column] > 1
-        owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
-        both = np.zeros((len(nodes), len(nodes)), dtype=np.float32)
-        order = np.argsort(column, kind="stable")
-        owner, column = owner[order], column[order]
-        for low in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
-            at = slice(*np.searchsorted(column, [low, low + 4096]))
-            ones = np.zeros((len(nodes), 4096), dtype=np.float32)
-            ones[owner[at], column[at] - low] = 1
-            both += ones @ ones.T
-        union = sizes[:, None] + sizes[None, :] - both
-        components = table.column("component").to_pylist()
-        out = []
-        for i, j in np.argwhere(np.triu(100 * both >= percent * union, 1)).tolist():
-            if (a := root(components[i])) != (b := root(components[j])):
-                parent[a] = b
-                out.append((int(nodes[i]), int(nodes[j])))
+        out, marked = [], np.zeros(len(times), dtype=bool)
+        for i in range(len(nodes)):
+            others = np.flatnonzero(met[i, i + 1 :]) + i + 1
+            others = others[100 * np.minimum(sizes[i], sizes[others]) >= percent * np.maximum(sizes[i], sizes[others])]
+            if not len(others):
+                continue
+            marked[column[ends[i] : ends[i + 1]]] = True
+            for j in others.tolist():
+                if (x := root(component[i])) == (y := root(component[j])):
+                    continue
+                both = int(np.count_nonzero(marked[column[ends[j] : ends[j + 1]]]))
+                if 100 * both >= percent * int(sizes[i] + sizes[j] - both):
+                    parent[x] = y
+                    out.append((int(nodes[i]), int(nodes[j])))
+            marked[column[ends[i] : ends[i + 1]]] = False
         return pa.table([pa.array([min(x) for x in out], pa.int64()), pa.array([max(x) for x in out], pa.int64())], ["a", "b"])
 
-    return rows.join(sets.select("node", "shingles"), "node").groupBy("unit", "x", "y").applyInArrow(forest, "a long, b long")
+    return forest
+
+
+def _across(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: links that connect the components of the open groups, staged."""
+    met = _met(_units(groups)).join(sets.select("node", "shingles"), "node")
+    return staged(met.groupBy("unit", "x", "y").applyInArrow(_forest(percent), "a long, b long"), "links")
 
 
 def _owned(docs: DataFrame, join: JaccardJoin, key: str, text: str, report: Callable[..., None] | None = None) -> DataFrame:
     """doc_id, text_key, n_shingles, node and _c, the key of the component (null for empty sets), of every row of docs."""
-    spark = docs.sparkSession
     heads = staged(headers(docs, join.width, key, text), "headers")
-    blocks = _blocks(docs, join, 4 * partitions(spark), text)
-    groups = staged(blocks.groupBy("bucket").applyInArrow(_groups, "grp long, node long, times long"), "groups")
-    released(spark)
-
-    # Groups that several buckets found become one.
-    groups = staged(groups.groupBy("grp", "node").agg(F.sum("times").alias("times")), "groups")
-    reps = heads.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("r"), F.max("n_shingles").alias("n"))
-    nodes = groups.select("node").distinct().join(reps, "node").select("node", "n", "r.doc_id", "r.text_key")
-    nodes = staged(nodes, "nodes")
-    sets = staged(_sets(docs, nodes.select("node", "doc_id", "text_key"), join.width, key, text), "sets")
-    groups = staged(groups.join(nodes.select("node", "n"), "node"), "groups")
-    released(spark)
-
-    links, tested, labels = None, None, None
-    for _ in range(STAR_ROUNDS):
+    blocks = _blocks(docs, join, bucket_count(heads, join), text)
+    found = staged(blocks.groupBy("bucket").applyInArrow(_groups, _GROUPS), "found")
+    groups = _united(found)
+    dropped(found)
+    reps = heads.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("r"))
+    nodes = staged(groups.select("node").distinct().join(reps, "node").select("node", "r.doc_id", "r.text_key"), "nodes")
+    sets = staged(_sets(docs, nodes, join.width, key, text), "sets")
+
+    links, tested, labels, old = [], None, None, [nodes]
+    for turn in range(STAR_ROUNDS):
         groups = _open(groups, labels)
-        stars = _stars(groups, tested, join.percent)
-        new = staged(_verified(stars, sets, join.percent), "links")
-        released(spark)
-        tested = stars if tested is None else staged(tested.unionByName(stars), "tested")
-        found = new.limit(1).count()
-        links = new if links is None else links.unionByName(new)
+        stars = _stars(groups, tested, join.percent, turn)
+        if not stars.limit(1).count():
+            break
+        new = _verified(stars, sets, join.percent)
+        tested = stars if tested is None else tested.unionByName(stars)
+        links.append(new)
+        old += [stars, new]
         if report:
             report(open=groups, stars=stars, links=new)
-        if labels is None or found:
-            labels = staged(connected_components(links), "labels")
-        if not found:
-            break
+        if labels is None or new.limit(1).count():
+            labels = staged(connected_components(_all(links)), "labels")
     groups = _open(groups, labels)
-    sizes = groups.groupBy("grp").agg(F.count("*").alias("size"))
-    sized = staged(groups.join(sizes, "grp"), "open")
-    small, large = sized.filter(F.col("size") <= SMALL_GROUP), sized.filter(F.col("size") > SMALL_GROUP)
-    left = small.select("grp", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    right = small.select("grp", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    pairs = left.join(right, "grp").filter(_sizes_fit("na", "nb", join.percent) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")))
-    pairs = pairs.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-    more = _verified(pairs, sets, join.percent)
-    if large.limit(1).count():
-        more = more.unionByName(_linked_in_blocks(large, sets, join.percent))
-    more = staged(more, "links")
-    released(spark)
-    if report:
-        report(heads=heads, nodes=nodes, open=groups, pairs=pairs, links=more)
-    if more.limit(1).count():
-        labels = connected_components(links.unionByName(more))
-    owned = heads.join(labels, "node", "left").withColumn("_c", F.coalesce("component", "node"))
-    return staged(owned.select("doc_id", "text_key", "n_shingles", "node", "_c"), "owned")
+    if groups.limit(1).count():
+        links.append(_across(groups, sets, join.percent))
+        if report:
+            report(open=groups, links=links[-1])
+        labels = staged(connected_components(_all(links)), "labels")
+    owned = heads if labels is None else heads.join(labels, "node", "left")
+    owned = owned.withColumn("_c", F.coalesce("component", "node") if labels is not None else F.col("node"))
+    owned = staged(owned.select("doc_id", "text_key", "n_shingles", "node", "_c"), "owned")
+    dropped(heads, groups, sets, labels, *old)
+    return owned
+
+
+def _all(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for df in tables[1:]:
+        out = out.unionByName(df)
+    return out
 
 
 def link_components(
@@ -460,16 +571,12 @@ def link_components(
 ) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id for every row of docs."""
     owned = _owned(docs, join, key, text, report)
-    least = owned.filter("_c is not null").groupBy("_c").agg(F.min("doc_id").alias("component_id"))
+    # A table of its own, so that the large components of the join are split at run time.
+    least = staged(owned.filter("_c is not null").groupBy("_c").agg(F.min("doc_id").alias("component_id")), "least")
     out = owned.join(least, "_c", "left")
     return out.select("doc_id", "text_key", "n_shingles", F.when(F.col("_c").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def released(spark) -> None:
-    """Ask the driver's JVM to collect garbage, which lets Spark delete shuffle files that nothing uses."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def one_of_each(docs: DataFrame, join: JaccardJoin, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, with their columns, that are the first of their component.
 
@@ -482,10 +589,9 @@ def one_of_each(docs: DataFrame, join: JaccardJoin, key: str = "doc_id", text: s
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "rows")).alias("first")
     keep = rows.filter("_c is not null").groupBy("_c").agg(first).select("first.doc_id", "first.text_key", "first.rows")
     keep = staged(keep.unionByName(rows.filter("_c is null").drop("_c")), "keep")
-    marks = keep.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
-    if marks.count() <= MOST_BROADCAST:
-        marks = F.broadcast(marks)
-    own = docs.withColumn("__own", F.xxhash64(text))
-    kept = own.join(marks, own[key].cast("long").eqNullSafe(marks["__id"]) & (own["__own"] == marks["__key"]), "left_semi").drop("__own")
+    dropped(owned)
+    marks = keep.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.col(key).cast("long").alias("_own"), F.xxhash64(text).alias("_text"))
+    kept = whole.join(marks, whole["_own"].eqNullSafe(marks["_id"]) & (whole["_text"] == marks["_key"]), "left_semi").select("_row.*")
     # Only where ids repeat do whole rows have to meet.
     return kept.dropDuplicates([key, text]) if keep.filter("rows > 1").limit(1).count() else kept

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lamina.llm.common import running, small_text_batches, staged
+from lamina.llm.common import running, staged, text_batches
 from lamina.llm.tokenizing import encoder, gathered, vocabulary
 
 #: Lengths of one block of the two-level prefix sums.
@@ -25,12 +25,11 @@ BLOCK = 128
 
 def encoded_lengths(docs: DataFrame, vocabulary_path: str, text: str = "text", end_tokens: int = 1) -> DataFrame:
     """A row (length) for each document."""
-    small_text_batches(docs.sparkSession)
     handle = docs.sparkSession.sparkContext.broadcast(vocabulary(vocabulary_path))  # one vocabulary file of fixed size
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(handle.value)
-        for batch in gathered(batches):
+        for batch in gathered(text_batches(batches, 0)):
             _, at = own.encode(batch.column(0))
             yield pa.record_batch([pa.array(np.diff(at) + end_tokens, pa.int64())], ["length"])
 

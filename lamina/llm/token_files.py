@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm.common import partitions, running, small_text_batches
+from lamina.llm.common import partitions, running, small_batches, text_batches
 from lamina.llm.tokenizing import encoder, gathered, vocabulary
 
 END_ID = 2
@@ -38,12 +38,11 @@ ORC_OPTIONS = {
 def write_token_files(docs: DataFrame, path: str, vocabulary_path: str, end_id: int = END_ID, key: str = "doc_id", text: str = "text") -> str:
     """Encode every text, append end_id, and write the ids below path; returns path."""
     spark = docs.sparkSession
-    small_text_batches(spark)
     handle = spark.sparkContext.broadcast(vocabulary(vocabulary_path))  # one vocabulary file of fixed size
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, start = encoder(handle.value), 0
-        for batch in gathered(batches):
+        for batch in gathered(text_batches(batches, 1)):
             ids, at = own.encode(batch.column(1))
             ids = np.insert(ids, at[1:], end_id)
             at = at + np.arange(len(at))
@@ -56,7 +55,8 @@ def write_token_files(docs: DataFrame, path: str, vocabulary_path: str, end_id:
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(partitions(spark), "doc_id", "tie")
     rows = rows.sortWithinPartitions("doc_id", "tie").select("doc_id", "text", F.spark_partition_id().alias("part"))
-    rows.mapInArrow(encoded, SCHEMA).write.options(**ORC_OPTIONS).orc(path)
+    with small_batches(spark):
+        rows.mapInArrow(encoded, SCHEMA).write.options(**ORC_OPTIONS).orc(path)
     return path
 
 
@@ -80,5 +80,4 @@ def with_checksum(tokens: DataFrame) -> DataFrame:
             crc = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.record_batch([*batch.columns[:3], pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    small_text_batches(tokens.sparkSession)
     return tokens.select("doc_id", "start", "n_tokens", "ids").mapInArrow(sums, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lamina.llm.common import small_text_batches, staged
+from lamina.llm.common import staged, text_batches
 
 MIN_WORDS = 20
 #: From a visible character to the end of the sentence or line.
@@ -43,10 +43,8 @@ _OCCURRENCE = "doc_id long, text_key long, unit int, start int, stop int, words
 
 def occurrences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each unit; `again` marks repeats of an earlier unit of the same document."""
-    small_text_batches(docs.sparkSession)
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_batches(batches, 2):
             rows, digests, counts, again = [], [], [], []
             for body in batch.column(2).to_pylist():
                 seen: set[bytes] = set()

@@ -54,8 +54,7 @@ def test_families_of_near_copies(spark, join, monkeypatch):
             for _ in range(rng.choice([0, 1, 2, 4, 8])):
                 copy[rng.randrange(len(copy))] = f"w{rng.randrange(1000)}"
             rows.append((len(rows) + 1, " ".join(copy), "en", f"s{family}"))
-    monkeypatch.setattr(N, "SMALL_GROUP", 8)  # the blocked comparison is used here as well
-    monkeypatch.setattr(N, "BLOCK_NODES", 16)
+    monkeypatch.setattr(N, "BLOCK_NODES", 16)  # units of several blocks
     assert found(as_table(spark, rows).repartition(4), join) == brute(rows, join.width, join.percent)
 
 
