@@ -1,15 +1,19 @@
 """Main text of web pages by tag-path ratios.
 
-A page is cut into blocks of text, each with its root-to-leaf path of block tags. For each path the text
-length and punctuation of its blocks are summed; both ratios to the number of blocks are smoothed over
-paths by similarity, fused by their product, and the paths whose fused ratio stands out select the
-container of the main text: the article or main element that holds most of it, else the deepest common
-ancestor. All blocks below the container are content, but for elements that are never main text by their
-tag, role or class (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts).
-Character references are decoded, white space inside a block becomes one space, and blocks are joined by
-one space in page order. Defined cases: null, empty and text-free pages have an empty text; unclosed and
-mis-nested tags close at the next block of their kind or the end; text without any element is content;
-ties of fused ratios go to the earlier path; repeated pages get a row each; extra columns are ignored.
+A page is cut into blocks of text, each with its root-to-leaf path: tags with their classes and ids, so that
+repeated elements share a path. For each path the text length outside links and the punctuation of its blocks
+are summed; both ratios to the number of blocks are smoothed over the tree of paths and fused by their
+product. A prior lowers the score of paths through elements whose tag, role, class or id speaks of menus,
+headers, footers, sidebars, notices, adverts, forms or comments, unless the element holds nearly all text
+of the page, and of paths outside the page's articles if it has any. The paths whose score reaches the
+threshold select the regions: all articles (else main elements), or without these the deepest single element
+that holds nearly all of the selected paths' score. Below a region a path is content, unless an element of
+the kinds above is on it and its score stays under the threshold; without an article, parts that are nearly
+all links are left out as well. Hidden elements, scripts, styles and the like are never text. Character
+references are decoded, white space inside a block becomes one space, and blocks are joined by one space in
+page order. The time is linear in the page, whatever its depth. Defined cases: null, empty and text-free
+pages have an empty text; unclosed and mis-nested tags close at the next block of their kind or the end; text
+without any element is content; repeated pages get a row each; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,51 +46,127 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
-#: Elements that are never main text.
+#: Elements that are hardly ever main text.
 BOILERPLATE_TAGS = frozenset("nav header footer aside form button select option menu dialog head fieldset".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
-#: Words of class and id that mark elements that are never main text.
+#: Words of class and id that speak of the same, but not beside a word of WRAPPER_WORDS (as in has-sidebar).
 BOILERPLATE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr "
     "header masthead menu nav navbar navigation newsletter notice notices notification popup promo promoted recommended related replies reply "
     "share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
+WRAPPER_WORDS = frozenset("has have no not with without".split())
+#: Elements whose class and id say nothing about their text.
+PLAIN_TAGS = frozenset(["html", "body", "article", "main"])
 #: Paths are smoothed by weight exp(-(steps between them)**2 / 2), up to 4 steps; steps are tags to leave and enter.
 _WEIGHTS = [math.exp(-steps * steps / 2) for steps in range(5)]
 #: Ratios are summed as whole multiples of 1 / _FINE, so that differences of sums are exact.
 _FINE = 1 << 40
+#: What each element of a boilerplate kind, and a place outside all articles, makes of a path's score.
+PRIOR = math.exp(-6)
+#: The threshold, in standard deviations of the scores.
+THRESHOLD = 0.8
+#: The share of a page's text that makes an element a wrapper, and of the selected score that leads to a region.
+NEARLY_ALL = 0.9
+#: The share of links from which a part of a page without articles is a menu.
+MOSTLY_LINKS = 0.8
 _WORDS = re.compile(r"[A-Za-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+#: Elements that end an open p, td, li and so on only inside themselves.
+_CLOSES = {"li": ("li",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr"), "dt": ("dt", "dd"), "dd": ("dt", "dd")}
+_WITHIN = {"li": ("ul", "ol", "menu"), "td": ("tr", "table"), "th": ("tr", "table"), "tr": ("table",), "dt": ("dl",), "dd": ("dl",)}
+_AROUND_P = ("article", "main", "section", "div", "body", "td", "li", "blockquote")
 
 
-def _is_boilerplate(tag: str, attributes: str) -> bool:
-    if tag in BOILERPLATE_TAGS:
-        return True
+def _speaks_of_boilerplate(value: str) -> bool:
+    for name in value.split():
+        words = {w.lower() for w in _WORDS.findall(_CAMEL.sub(" ", name))}
+        if words & BOILERPLATE_WORDS and not words & WRAPPER_WORDS:
+            return True
+    return False
+
+
+def judged_tag(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """(label, boilerplate, hidden) of an element; the label is its tag with its classes and id."""
+    label, boilerplate, hidden = tag, tag in BOILERPLATE_TAGS, False
     for name, *values in _ATTRIBUTE.findall(attributes) if attributes else ():
         value, name = "".join(values), name.lower()
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
-        if name == "role" and value.lower() in BOILERPLATE_ROLES:
-            return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-            if any(w.lower() in BOILERPLATE_WORDS for w in _WORDS.findall(_CAMEL.sub(" ", value))):
-                return True
-    return False
+            hidden = True
+        elif name == "role":
+            boilerplate |= value.lower() in BOILERPLATE_ROLES
+        elif name in ("class", "id"):
+            label += ("." if name == "class" else "#") + ".".join(sorted(value.split()))
+            boilerplate |= tag not in PLAIN_TAGS and _speaks_of_boilerplate(value)
+    return label, boilerplate, hidden
+
+
+class Paths:
+    """The tree of a page's paths; node 0 is the root, children have larger numbers than their parents."""
 
+    def __init__(self) -> None:
+        self.parent, self.tag, self.marked, self.elements = [0], [""], [False], [1]
+        self.chars, self.linked, self.marks, self.blocks = [0], [0], [0], [0]
+        self.known: dict[tuple[int, str, bool], int] = {}
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """(path, text, characters inside links) of each block outside boilerplate, in page order."""
-    out: list[tuple[tuple[str, ...], str, int]] = []
-    stack: list[tuple[str, bool]] = []  # open block elements: name with its number, and whether text below counts
-    links, pieces, linked, number = 0, [], 0, 0
+    def enter(self, parent: int, tag: str, label: str, marked: bool) -> int:
+        node = self.known.setdefault((parent, label, marked), len(self.parent))
+        if node == len(self.parent):
+            self.parent.append(parent)
+            self.tag.append(tag)
+            self.marked.append(marked)
+            for column in (self.elements, self.chars, self.linked, self.marks, self.blocks):
+                column.append(0)
+        self.elements[node] += 1
+        return node
+
+    def add(self, node: int, text: str, linked: int) -> None:
+        self.chars[node] += max(0, len(text) - linked)
+        self.linked[node] += min(len(text), linked)
+        self.marks[node] += len(_PUNCTUATION.findall(text)) * (len(text) > linked)
+        self.blocks[node] += 1
+
+    def below(self, values: list) -> list:
+        """The sums of values over each node and all below it."""
+        out = list(values)
+        for node in range(len(out) - 1, 0, -1):
+            out[self.parent[node]] += out[node]
+        return out
+
+
+def parse(page: str) -> tuple[Paths, list[tuple[int, str]]]:
+    """The page's paths, and (path, text) of each block in page order; hidden elements are left out."""
+    paths, out = Paths(), []
+    stack: list[tuple[str, int, bool]] = []  # open block elements: tag, path, hidden
+    open_tags: dict[str, int] = {}
+    links, pieces, linked = 0, [], 0
+    muted: list = []  # an inline element that is left out: its tag, how many of these are open, blocks around it
 
     def end_block() -> None:
         nonlocal pieces, linked
         text = " ".join("".join(pieces).split())
         if text:
-            out.append((tuple(name for name, _ in stack), text, linked))
+            node = stack[-1][1] if stack else 0
+            paths.add(node, text, linked)
+            out.append((node, text))
         pieces, linked = [], 0
 
+    def close(upto: int) -> None:
+        for tag, _, _ in stack[upto:]:
+            open_tags[tag] -= 1
+        del stack[upto:]
+        if muted and len(stack) < muted[2]:
+            muted.clear()
+
+    def nearest(kinds: tuple[str, ...], barriers: tuple[str, ...] = ()) -> int | None:
+        if any(open_tags.get(k) for k in kinds):
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i][0] in kinds:
+                    return i
+                if stack[i][0] in barriers:
+                    return None
+        return None
+
     at, size = 0, len(page)
     while at < size:
         token = _TOKEN.match(page, at)
@@ -97,7 +177,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         at = token.end()
         closing, tag, attributes, text = (*token.groups(), None)[:4]
         if text is not None:
-            if not stack or stack[-1][1]:
+            if not muted and not (stack and stack[-1][2]):
                 text = references.unescape(text)
                 pieces.append(text)
                 linked += len(text) if links else 0
@@ -106,7 +186,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             continue
         tag = tag.lower()
         if tag in RAW and not closing:
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
+            end = _raw_end(tag).search(page, at)
             if not attributes.rstrip().endswith("/"):
                 at = end.end() if end else size
             continue
@@ -117,65 +197,66 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if tag in INLINE:
             if tag == "a":
                 links = 0 if closing else 1
-            if not closing and _is_boilerplate(tag, attributes):
-                end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
-                at = end.end() if end else at
+            if muted:
+                if tag == muted[0]:
+                    muted[1] += -1 if closing else 1
+                    if not muted[1]:
+                        muted.clear()
+            elif not closing and any(judged_tag(tag, attributes)[1:]):
+                muted += [tag, 1, len(stack)]
             continue
         end_block()
         links = 0
         if closing:
-            open_at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0].partition("#")[0] == tag), None)
-            if open_at is not None:
-                del stack[open_at:]
+            if (opened := nearest((tag,))) is not None:
+                close(opened)
             continue
-        for kind, inside in (("p", None), ("li", ("ul", "ol", "menu")), ("td", ("tr", "table")), ("th", ("tr", "table")), ("tr", ("table",)), ("dt", ("dl",)), ("dd", ("dl",))):
-            if kind == "p" or tag == kind or (kind in ("td", "th") and tag in ("td", "th", "tr")) or (kind in ("dt", "dd") and tag in ("dt", "dd")):
-                for i in range(len(stack) - 1, -1, -1):
-                    name = stack[i][0].partition("#")[0]
-                    if name == kind:
-                        del stack[i:]
-                        break
-                    if inside and name in inside or (kind == "p" and name in ("article", "main", "section", "div", "body", "td", "li", "blockquote")):
-                        break
-        number += 1
-        counts = (not stack or stack[-1][1]) and not _is_boilerplate(tag, attributes)
-        stack.append((f"{tag}#{number}" if tag in ("article", "main", "div", "section", "body", "td") else tag, counts))
+        for kinds, barriers in ((("p",), _AROUND_P), (_CLOSES.get(tag, ()), _WITHIN.get(tag, ()))):
+            while (opened := nearest(kinds, barriers)) is not None:
+                close(opened)
+                if kinds == ("p",):
+                    break
+        label, boilerplate, hidden = judged_tag(tag, attributes)
+        node = paths.enter(stack[-1][1] if stack else 0, tag, label, boilerplate)
+        stack.append((tag, node, hidden or bool(stack and stack[-1][2])))
+        open_tags[tag] = open_tags.get(tag, 0) + 1
     end_block()
-    return out
+    return paths, out
+
 
+_raw_ends: dict[str, re.Pattern] = {}
 
-def _totals_below(ratios: dict[tuple[str, ...], tuple[int, int]]) -> dict[tuple[str, ...], list[list[int]]]:
-    """For each node of the tree of paths, the number, text and punctuation of the paths at each depth below it."""
-    out: dict[tuple[str, ...], list[list[int]]] = {}
+
+def _raw_end(tag: str) -> re.Pattern:
+    if tag not in _raw_ends:
+        _raw_ends[tag] = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.IGNORECASE)
+    return _raw_ends[tag]
+
+
+def path_scores(paths: Paths) -> dict[int, float]:
+    """The fused ratio of each path with text: smoothed text per block times smoothed punctuation per block,
+    one added to each, times the number of its blocks."""
+    steps = len(_WEIGHTS) - 1
+    below: dict[int, list[list[int]]] = {}  # of each node, the number, text and punctuation of the paths at each depth below it
+    with_text = [n for n, blocks in enumerate(paths.blocks) if blocks]
+    ratios = {n: (round(paths.chars[n] / paths.blocks[n] * _FINE), round(paths.marks[n] / paths.blocks[n] * _FINE)) for n in with_text}
     for path, (length, marks) in ratios.items():
-        for down in range(min(len(path), len(_WEIGHTS) - 1) + 1):
-            node = path[: len(path) - down]
-            if node not in out:
-                out[node] = [[0, 0, 0] for _ in _WEIGHTS]
-            row = out[node][down]
+        node = path
+        for down in range(steps + 1):
+            row = below.setdefault(node, [[0, 0, 0] for _ in _WEIGHTS])[down]
             row[0] += 1
             row[1] += length
             row[2] += marks
-    return out
-
-
-def path_scores(found: list[tuple[tuple[str, ...], str, int]]) -> dict[tuple[str, ...], float]:
-    """The fused ratio of each path: smoothed text per block times smoothed punctuation per block, plus one each."""
-    sums: dict[tuple[str, ...], list[float]] = {}
-    for path, text, linked in found:
-        row = sums.setdefault(path, [0.0, 0.0, 0.0])
-        row[0] += max(0, len(text) - linked)
-        row[1] += len(_PUNCTUATION.findall(text)) * (len(text) > linked)
-        row[2] += 1
-    ratios = {path: (round(chars / n * _FINE), round(marks / n * _FINE)) for path, (chars, marks, n) in sums.items()}
-    below, out = _totals_below(ratios), {}
-    for path in ratios:
+            if not node:
+                break
+            node = paths.parent[node]
+    out = {}
+    for path in with_text:
         total = length = marks = 0.0
-        for up in range(min(len(path), len(_WEIGHTS) - 1) + 1):
-            here = below[path[: len(path) - up]]
-            inside = below[path[: len(path) - up + 1]] if up else None  # counted at a smaller distance
-            for down in range(len(_WEIGHTS) - up):
-                n, chars, points = here[down]
+        node, inside = path, None  # inside: what is counted at a smaller distance
+        for up in range(steps + 1):
+            for down in range(steps - up + 1):
+                n, chars, points = below[node][down]
                 if inside and down:
                     n, chars, points = n - inside[down - 1][0], chars - inside[down - 1][1], points - inside[down - 1][2]
                 if n:
@@ -183,44 +264,87 @@ def path_scores(found: list[tuple[tuple[str, ...], str, int]]) -> dict[tuple[str
                     total += weight * n
                     length += weight * (chars / _FINE)
                     marks += weight * (points / _FINE)
-        out[path] = (1 + length / total) * (1 + marks / total) * sums[path][2]
+            if not node:
+                break
+            inside, node = below[node], paths.parent[node]
+        out[path] = (1 + length / total) * (1 + marks / total) * paths.blocks[path]
+    return out
+
+
+def marked_above(paths: Paths) -> list[int]:
+    """For each path, how many of its elements are of a boilerplate kind; elements that hold nearly all text do
+    not count if all articles, main elements and h1 with text and without such elements are inside."""
+    text = paths.below(paths.chars)
+    out = [0] * len(text)
+    for node in range(1, len(out)):
+        out[node] = out[paths.parent[node]] + paths.marked[node]
+    kept = paths.below([b if t in ("article", "main", "h1") and not m else 0 for t, b, m in zip(paths.tag, text, out, strict=True)])
+    for node in range(1, len(out)):
+        wrapper = text[node] >= NEARLY_ALL * text[0] and kept[node] == kept[0]
+        out[node] = out[paths.parent[node]] + (paths.marked[node] and not wrapper)
     return out
 
 
-def container(scores: dict[tuple[str, ...], float]) -> tuple[str, ...]:
-    """The path below which the main text lies: of the paths over the threshold, the common ancestor."""
-    if not scores:
-        return ()
+def articles(paths: Paths, marked: list[int]) -> list[int]:
+    """For each path, the article on it that is nearest to the root and not of a boilerplate kind, else 0; if the
+    page has no such article with text, the main element."""
+    text = paths.below(paths.chars)
     for kind in ("article", "main"):
-        totals: dict[tuple[str, ...], float] = {}
-        for path, score in scores.items():
-            for depth, name in enumerate(path):
-                if name.partition("#")[0] == kind:
-                    totals[path[: depth + 1]] = totals.get(path[: depth + 1], 0.0) + score
-                    break
-        if totals:
-            return max(totals, key=lambda p: totals[p])
+        out, any_text = [0] * len(text), False
+        for node in range(1, len(out)):
+            out[node] = out[paths.parent[node]] or (node if paths.tag[node] == kind and not marked[node] else 0)
+            any_text |= bool(out[node] == node and text[node])
+        if any_text:
+            return out
+    return [0] * len(text)
+
+
+def content_paths(paths: Paths) -> set[int]:
+    """The paths whose text is main text."""
+    plain = path_scores(paths)
+    if not plain:
+        return set()
+    marked = marked_above(paths)
+    region = articles(paths, marked)
+    outside = any(region)
+    scores = {n: s * PRIOR ** (marked[n] + (outside and not region[n])) for n, s in plain.items()}
     mean = sum(scores.values()) / len(scores)
     spread = math.sqrt(sum((s - mean) ** 2 for s in scores.values()) / len(scores))
-    best = max(scores.values())
-    chosen = [p for p, s in scores.items() if s >= min(best, 0.8 * spread)]
-    total = sum(scores[p] for p in chosen)
-    root: tuple[str, ...] = ()
-    while True:  # go down while one child holds nearly all
-        below: dict[str, float] = {}
-        for p in chosen:
-            if p[: len(root)] == root and len(p) > len(root):
-                below[p[len(root)]] = below.get(p[len(root)], 0.0) + scores[p]
-        name = max(below, key=lambda k: below[k], default=None)
-        if name is None or below[name] < 0.9 * total or "#" not in name and name not in ("html", "table", "tbody", "tr", "center"):
-            return root
-        root = (*root, name)
+    threshold = min(max(scores.values()), THRESHOLD * spread)
+    selected = {n for n, s in scores.items() if s >= threshold}
+    if outside:
+        return {n for n in plain if region[n] and (not marked[n] or n in selected)}
+
+    mass = paths.below([scores[n] if n in selected else 0.0 for n in range(len(paths.parent))])
+    titles = paths.below([c if t == "h1" and not m else 0 for c, t, m in zip(paths.chars, paths.tag, marked, strict=True)])
+    children: dict[int, list[int]] = {}
+    for node in range(1, len(paths.parent)):
+        children.setdefault(paths.parent[node], []).append(node)
+    root = 0
+    while below := [n for n in children.get(root, ()) if mass[n] >= NEARLY_ALL * mass[0] and paths.elements[n] == 1 and titles[n] == titles[root]]:
+        if paths.blocks[below[0]] and paths.tag[below[0]] not in _AROUND_P:
+            break  # a paragraph is no region
+        root = below[0]
+    text, linked = paths.below(paths.chars), paths.below(paths.linked)
+    part = [0] * len(text)  # the child of the root that a path goes through
+    out = set()
+    for node in range(len(text)):
+        up = paths.parent[node]
+        part[node] = node if node and up == root else part[up]
+        within = node == root or (node and part[node])
+        if within and node in plain and (node in selected or (marked[node] <= marked[root] and not (part[node] and _menu(text, linked, part[node])))):
+            out.add(node)
+    return out
+
+
+def _menu(text: list[int], linked: list[int], node: int) -> bool:
+    return linked[node] >= MOSTLY_LINKS * (text[node] + linked[node])
 
 
 def main_text(page: str | None) -> str:
-    found = blocks(page) if page else []
-    root = container(path_scores(found))
-    return " ".join(text for path, text, _ in found if path[: len(root)] == root)
+    paths, found = parse(page) if page else (Paths(), [])
+    content = content_paths(paths)
+    return " ".join(text for path, text in found if path in content)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 import os
 import random
+import time
 
 import pytest
 
@@ -88,24 +89,118 @@ def test_blocks_beside_a_long_one_stay_at_any_number_of_paths(short):
     assert H.main_text("<html><body>" + "".join(divs) + "</body></html>").count("has some words") == short
 
 
-def test_scores_are_those_of_all_pairs_of_paths():
-    rng, found = random.Random(4), []
-    for _ in range(1500):
-        path = tuple(f"{rng.choice(['div', 'td'])}#{rng.randrange(4)}" for _ in range(rng.randrange(8)))
-        text = "a, " * rng.randrange(1, 40)
-        found.append((path, text, rng.choice([0, 0, len(text)])))
-    rows = {}
-    for path, text, linked in found:
-        rows.setdefault(path, []).append((len(text) - linked, H._PUNCTUATION.findall(text) if linked < len(text) else []))
-    ratios = {p: (sum(n for n, _ in r) / len(r), sum(len(m) for _, m in r) / len(r)) for p, r in rows.items()}
-    assert len(ratios) > 512
-    scores = H.path_scores(found)
-    for p in rng.sample(sorted(ratios), 100):
-        near = [(len(p) + len(q) - 2 * len(os.path.commonprefix([p, q])), r) for q, r in ratios.items()]
-        near = [(math.exp(-d * d / 2), r) for d, r in near if d <= 4]
+def tree(rng, depth, kinds):
+    """A well-formed page part: (tag, class, children or text)."""
+    out = []
+    for _ in range(rng.randrange(1, 4)):
+        tag, name = rng.choice(kinds), rng.choice(["", "", "", "a", "b", "ad", "has-sidebar", "menu"])
+        if tag in ("p", "h1", "li") or depth == 0:
+            links, text = rng.random() < 0.2, "a, word. " * rng.randrange(1, 30)
+            out.append((rng.choice(["p", "h1", "li"]), name, text, links))
+        else:
+            out.append((tag, name, tree(rng, depth - 1, kinds), False))
+    return out
+
+
+def written(part):
+    out = []
+    for tag, name, inside, links in part:
+        body = written(inside) if isinstance(inside, list) else f"<a href=x>{inside}</a>" if links else inside
+        out.append(f"<{tag}{f' class={name}' if name else ''}>{body}</{tag}>")
+    return "".join(out)
+
+
+def brute(part):
+    """The main text by the definitions, on tuples of elements and over all pairs of paths."""
+    blocks, elements = [], {}
+
+    def walk(part, above):
+        for tag, name, inside, links in part:
+            path = (*above, (tag, name))
+            elements[path] = elements.get(path, 0) + 1
+            if isinstance(inside, list):
+                walk(inside, path)
+            else:
+                blocks.append((path, inside.strip(), links))
+
+    walk(part, ())
+    plain = {}
+    for path, text, links in blocks:
+        row = plain.setdefault(path, [0, 0, 0, 0])
+        row[0] += 0 if links else len(text)
+        row[1] += 0 if links else text.count(".") + text.count(",")
+        row[2] += 1
+        row[3] += len(text) if links else 0
+    scores = {}
+    for p in plain:
+        near = [(math.exp(-d * d / 2), plain[q]) for q in plain if (d := len(p) + len(q) - 2 * len(os.path.commonprefix([p, q]))) <= 4]
         total = sum(w for w, _ in near)
-        length, marks = (sum(w * r[i] for w, r in near) / total for i in (0, 1))
-        assert scores[p] == pytest.approx((1 + length) * (1 + marks) * len(rows[p]), rel=1e-9)
+        scores[p] = (1 + sum(w * r[0] / r[2] for w, r in near) / total) * (1 + sum(w * r[1] / r[2] for w, r in near) / total) * plain[p][2]
+    every = sorted(elements)
+    inside = lambda path, what: sum(r[what] for q, r in plain.items() if q[: len(path)] == path)
+    is_marked = lambda e: e[0] in ("nav", "footer", "aside") or (e[0] not in ("article", "main") and e[1] in ("ad", "menu"))
+    sure = [p for p in every if p[-1][0] in ("article", "main", "h1") and inside(p, 0) and not any(map(is_marked, p))]
+    wrapper = {p for p in every if inside(p, 0) >= 0.9 * inside((), 0) and all(q[: len(p)] == p for q in sure)}
+    marks = {p: sum(is_marked(p[i]) and p[: i + 1] not in wrapper for i in range(len(p))) for p in [(), *every]}
+    region = {}
+    for kind in ("article", "main"):
+        own = {p: next((p[: i + 1] for i in range(len(p)) if p[i][0] == kind and not marks[p[: i + 1]]), None) for p in every}
+        if any(r and inside(r, 0) for r in own.values()):
+            region = own
+            break
+    outside = bool(region)
+    scores = {p: s * math.exp(-6) ** (marks[p] + (outside and not region[p])) for p, s in scores.items()}
+    mean = sum(scores.values()) / len(scores)
+    threshold = min(max(scores.values()), 0.8 * math.sqrt(sum((s - mean) ** 2 for s in scores.values()) / len(scores)))
+    selected = {p for p, s in scores.items() if s >= threshold}
+    if outside:
+        content = {p for p in plain if region[p] and (not marks[p] or p in selected)}
+    else:
+        mass = lambda path: sum(scores[q] for q in selected if q[: len(path)] == path)
+        titles = lambda path: sum(r[0] for q, r in plain.items() if q[: len(path)] == path and q[-1][0] == "h1" and not marks[q])
+        root = ()
+        while True:
+            down = [p for p in every if p[:-1] == root and mass(p) >= 0.9 * mass(()) and elements[p] == 1 and titles(p) == titles(root)]
+            if not down or (down[0] in plain and down[0][-1][0] not in ("article", "main", "section", "div", "body", "td", "li", "blockquote")):
+                break
+            root = down[0]
+        menu = lambda path: inside(path, 3) >= 0.8 * (inside(path, 0) + inside(path, 3))
+        content = {
+            p
+            for p in plain
+            if p[: len(root)] == root and (p in selected or (marks[p] <= marks[root] and not (len(p) > len(root) and menu(p[: len(root) + 1]))))
+        }
+    return " ".join(text for path, text, _ in blocks if path in content)
+
+
+@pytest.mark.parametrize("kinds", [["div", "section", "p"], ["div", "nav", "p", "aside"], ["div", "article", "p", "aside"], ["main", "section", "p", "footer", "article"]])
+def test_against_brute_force(kinds):
+    rng = random.Random(len(kinds) + len(kinds[1]))
+    for _ in range(150):
+        part = tree(rng, 4, kinds)
+        assert H.main_text(written(part)) == brute(part), written(part)
+
+
+def test_wrappers_named_like_boilerplate_are_not():
+    for name in ("layout has-sidebar", "page with-header", "sidebar"):
+        assert H.main_text(f'<body><div class="{name}"><h1>T</h1><p>{PROSE}</p><div class=ad>Buy, now.</div></div></body>') == f"T {PROSE.strip()}"
+
+
+def test_all_articles_stay():
+    assert H.main_text(page(f"<article class=a><p>{PROSE}</p></article><p>between</p><article class=b><p>Two</p></article>")) == f"{PROSE.strip()} Two"
+    assert H.main_text(page(f"<article><p>{PROSE}</p></article><section id=comments><article><p>{PROSE * 9}</p></article></section>")) == PROSE.strip()
+
+
+def test_elements_inside_left_out_inline_elements():
+    assert H.main_text("<article><p><span class=ad>buy <span>now</span> today</span> x</p></article>") == "x"
+    assert H.main_text("<article><p>a <span class=ad>buy <span>now</p><p>b</p></article>") == "a b"
+
+
+@pytest.mark.parametrize("body", ["<div>" * 12_000 + PROSE, "<ul><li>x" * 12_000, "<b><div>y" * 12_000, "</i></div><p>z" * 12_000, "".join(f"<div class=c{i}>t{i}." for i in range(12_000))])
+def test_deep_pages_take_no_longer(body):
+    began = time.perf_counter()
+    assert H.main_text(body)
+    assert time.perf_counter() - began < 5  # some tenths of a second on a free machine
 
 
 def test_whole_table(spark):
