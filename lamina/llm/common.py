@@ -110,6 +110,11 @@ def running(totals: DataFrame, key: str, *sums: str) -> DataFrame:
     )
 
 
+def packed(docs: DataFrame) -> Column:
+    """The whole row as a column _row: the operators' own names beside it cannot clash with those inside."""
+    return F.struct(*[docs[c] for c in docs.columns]).alias("_row")
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z to lower case and nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

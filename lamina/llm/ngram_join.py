@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import dropped, partitions, staged, text_batches
+from lamina.llm.common import dropped, packed, partitions, staged, text_batches
 from lamina.llm.components import connected_components
 
 _U = np.uint64
@@ -591,7 +591,7 @@ def one_of_each(docs: DataFrame, join: JaccardJoin, key: str = "doc_id", text: s
     keep = staged(keep.unionByName(rows.filter("_c is null").drop("_c")), "keep")
     dropped(owned)
     marks = keep.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.col(key).cast("long").alias("_own"), F.xxhash64(text).alias("_text"))
+    whole = docs.select(packed(docs), F.col(key).cast("long").alias("_own"), F.xxhash64(text).alias("_text"))
     kept = whole.join(marks, whole["_own"].eqNullSafe(marks["_id"]) & (whole["_text"] == marks["_key"]), "left_semi").select("_row.*")
     # Only where ids repeat do whole rows have to meet.
     return kept.dropDuplicates([key, text]) if keep.filter("rows > 1").limit(1).count() else kept

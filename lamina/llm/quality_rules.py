@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import SPACES
+from lamina.llm.common import SPACES, packed
 
 #: Frequent function words of English, French, German and Spanish.
 STOP_WORDS = (
@@ -119,5 +119,5 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text",
 
 def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """The rows of docs that pass, with the columns of docs."""
-    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.col(text).alias("_text"))
+    whole = docs.select(packed(docs), F.col(text).alias("_text"))
     return judge(whole, rules, "_text", ("_row",)).filter("kept").select("_row.*")

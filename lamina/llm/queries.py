@@ -148,6 +148,8 @@ def _shrunk(level: str, parent: str, on: str, out: str, columns: str) -> str:
 _URL_RULES = sorted(url_filters.RULES, key=lambda r: -len(r[1] + r[2]))
 _FITS = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", f"'{h}{p}'", f"'{v}'") for v, h, p in _URL_RULES]
 
+_LONG = ", ".join(f"'{s}'" for s in url_filters.LONG_SUFFIXES)
+
 ORACLES["op7_url_filters"] = f"""
 WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
 p AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -156,7 +158,9 @@ marks AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 EN
   WHERE doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL) GROUP BY doc_id),
 h AS (SELECT host, string_split(host, '.') AS parts, count(bad) AS n, coalesce(sum(bad), 0)::BIGINT AS k
   FROM p LEFT JOIN marks ON doc_id = page_id GROUP BY host),
-hosts AS (SELECT host, n, k, parts[-1] AS suffix, CASE WHEN len(parts) >= 2 THEN parts[-2] || '.' || parts[-1] ELSE host END AS domain FROM h),
+g AS (SELECT *, CASE WHEN len(parts) >= 2 THEN parts[-2] || '.' || parts[-1] ELSE host END AS pair FROM h),
+hosts AS (SELECT host, n, k, CASE WHEN pair IN ({_LONG}) THEN pair ELSE parts[-1] END AS suffix,
+    CASE WHEN pair IN ({_LONG}) AND len(parts) >= 3 THEN parts[-3] || '.' || pair ELSE pair END AS domain FROM g),
 domains AS (SELECT domain, suffix, sum(n)::BIGINT AS n, sum(k)::BIGINT AS k FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, 1 AS one, sum(n)::BIGINT AS n, sum(k)::BIGINT AS k FROM domains GROUP BY ALL),
 base AS (SELECT 1 AS one, coalesce(sum(k)::DOUBLE / nullif(sum(n), 0), 0) AS prior FROM suffixes),

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lamina.llm.common import partitions, running, staged
+from lamina.llm.common import packed, partitions, running, staged
 
 OVERHEAD_BYTES = 8
 
@@ -53,6 +53,7 @@ def assign_shards(docs: DataFrame, shards: int = 24, key: str = "doc_id", text:
         "bytes_all",
     )
     placed = placed.withColumn("shard", F.least(F.lit(shards - 1), F.expr(f"_start * {shards} div bytes_all")).cast("int"))
+    # One row for each shard.
     firsts = placed.groupBy("shard").agg(F.min("_index").alias("_first"))
     return placed.join(F.broadcast(firsts), "shard").select(
         key,
@@ -64,3 +65,15 @@ def assign_shards(docs: DataFrame, shards: int = 24, key: str = "doc_id", text:
         F.lit(None).cast("int").alias("grown_shard"),
         *carry,
     )
+
+
+def placed_rows(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs with all their columns, and size, text_crc32, law, shard, slot and grown_shard.
+
+    The latter replace columns of docs with these names. Whole rows are dealt by ranges of the key and written
+    once in that order, as the shards' files would be.
+    """
+    slim = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), packed(docs))
+    put = assign_shards(slim, shards, "_key", "_text", ("_row",))
+    own = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return put.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns if c.lower() not in own], *own)

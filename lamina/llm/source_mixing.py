@@ -19,15 +19,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lamina.llm.common import SPACES, staged
+from lamina.llm.common import SPACES, packed, staged
+
+
+#: Slices of the order of a source's blocks.
+SLICES = 4096
 
 
 @dataclass(frozen=True)
 class Mix:
-    """Give target_entropy (nats) or most_passes; block_docs documents make a block."""
+    """Give target_entropy (nats) or most_passes; block_docs documents make a block.
+
+    With budget_tokens the whole mix has that many tokens, to within a document a source; else the least
+    repeated source is passed once.
+    """
 
     most_passes: float = 1.5
     target_entropy: float | None = None
+    budget_tokens: int | None = None
     block_docs: int = 4096
     seed: str = "mix"
 
@@ -87,13 +96,17 @@ def source_plan(parts: DataFrame, mix: Mix) -> DataFrame:
     alpha = exponent(shares, mix)
     raised = shares.withColumn("raised", F.pow("share", F.lit(alpha)))
     total, least = raised.agg(F.sum("raised"), F.min(F.col("raised") / F.col("share"))).first()
+    if mix.budget_tokens is None:
+        passes = F.col("raised") / F.col("share") / F.lit(least or 1.0)
+    else:
+        passes = F.col("raised") / F.lit(total or 1.0) * F.lit(float(mix.budget_tokens)) / F.col("n_tokens")
     return raised.select(
         "source",
         "n_docs",
         "n_tokens",
         F.round("share", 9).alias("share"),
         F.round(F.col("raised") / F.lit(total or 1.0), 9).alias("weight"),
-        F.round(F.col("raised") / F.col("share") / F.lit(least or 1.0), 6).alias("passes"),
+        F.round(passes, 6).alias("passes"),
         F.ceil(F.col("n_docs") / F.lit(mix.block_docs)).cast("long").alias("n_blocks"),
     )
 
@@ -112,16 +125,22 @@ def schedule(docs: DataFrame, mix: Mix = Mix(), key: str = "doc_id", source: str
     blocks = staged(rows.groupBy("source", "block", "whole", "rest").agg(F.sum("n_tokens").alias("block_tokens")), "blocks")
     last = (F.col("whole") + F.when(F.col("rest") > 0, 1).otherwise(0)).cast("long")
     blocks = blocks.withColumn("pass", F.explode(F.sequence(F.lit(1).cast("long"), last)))
-    # One row for each block and pass: a source's window holds its documents divided by block_docs.
-    order = Window.partitionBy("source", "pass").orderBy(
-        _fraction(seed, F.col("source"), F.col("pass").cast("string"), F.col("block").cast("string")), "block"
+    # The order of a source's blocks in two levels: slices of the hash's range, at most SLICES rows a window,
+    # and the blocks of a slice. A source of any size is spread over its slices.
+    blocks = blocks.withColumn("at", _fraction(seed, F.col("source"), F.col("pass").cast("string"), F.col("block").cast("string")))
+    blocks = blocks.withColumn("slice", F.expr(f"at div {(1 << 32) // SLICES}"))
+    slices = blocks.groupBy("source", "pass", "slice").agg(F.count("*").alias("slice_blocks"), F.sum("block_tokens").alias("slice_tokens"))
+    before = Window.partitionBy("source", "pass").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.select(
+        "source", "pass", "slice", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("slice_blocks", "slice_tokens")]
     )
-    blocks = blocks.select(
+    order = Window.partitionBy("source", "pass", "slice").orderBy("at", "block")
+    blocks = blocks.join(slices, ["source", "pass", "slice"]).select(
         "source",
         "block",
         "pass",
-        (F.row_number().over(order) - 1).cast("long").alias("block_rank"),
-        (F.sum("block_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("block_tokens")).alias("tokens_before"),
+        (F.col("slice_blocks_before") + F.row_number().over(order) - 1).cast("long").alias("block_rank"),
+        (F.col("slice_tokens_before") + F.sum("block_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("block_tokens")).alias("tokens_before"),
     )
     passes = rows.withColumn("pass", F.explode(F.sequence(F.lit(1).cast("long"), last)))
     inside = Window.partitionBy("source", "block", "pass").orderBy(
@@ -142,9 +161,8 @@ def mixed(docs: DataFrame, mix: Mix = Mix(), key: str = "doc_id", source: str =
     """The rows of docs, with their columns, each as often as the schedule passes it."""
     times = schedule(docs, mix, key, source, text).groupBy("source", "doc_id", "text_key").agg(F.count("*").cast("int").alias("__times"))
     times = times.select(F.col("source").alias("__source"), F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "__times")
-    own = docs.withColumn("__own", F.md5(F.coalesce(F.col(text), F.lit(""))))
-    same = (
-        own[key].cast("long").eqNullSafe(times["__id"]) & (own["__own"] == times["__key"]) & (F.coalesce(own[source], F.lit("")) == times["__source"])
+    own = docs.select(
+        packed(docs), F.col(key).cast("long").alias("_id"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("_key"), F.coalesce(F.col(source), F.lit("")).alias("_source")
     )
-    joined = own.join(times, same).withColumn("__pass", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-    return joined.select(*[own[c] for c in docs.columns])
+    same = own["_id"].eqNullSafe(times["__id"]) & (own["_key"] == times["__key"]) & (own["_source"] == times["__source"])
+    return own.join(times, same).withColumn("__pass", F.explode(F.sequence(F.lit(1), F.col("__times")))).select("_row.*")

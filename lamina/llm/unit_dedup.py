@@ -5,8 +5,9 @@ are normalised (lower case, single spaces) and hashed to 128 bits. Digests are g
 with map-side aggregation; the document with the smallest id keeps a unit at its first place, and every
 other occurrence is repeated. Consecutive repeated units make a span; spans of min_words and more words
 are removed. Units that only few words repeat are so left alone, and boilerplate of a line too unless it
-adds up. Defined cases: null and empty texts have no units; null ids rank last; documents with equal ids
-rank equally, so that neither loses a unit to the other; repeats inside a document go after the first;
+adds up. Defined cases: null and empty texts have no units; documents rank by id, null ids last, and those
+with equal ids or none by the 64-bit hash of the text, so that one of them keeps a unit; rows equal in id and
+text are one document, which loses the same spans in each row; repeats inside a document go after the first;
 an empty table gives no rows; extra columns are ignored by repeated_spans and passed through by remove_spans.
 """
 
@@ -22,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lamina.llm.common import staged, text_batches
+from lamina.llm.common import packed, staged, text_batches
 
 MIN_WORDS = 20
 #: From a visible character to the end of the sentence or line.
-_UNIT = re.compile(r"\S(?:[^\n.!?]+|[.!?]+(?=[^\s.!?]))*+[.!?]*")
+_UNIT = re.compile(r"(?=\S)(?:[^\n.!?]+|[.!?]+(?=[^\s.!?]))*+[.!?]*")
 _LAST = (1 << 63) - 1
 
 
@@ -74,12 +75,13 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_
     found = occurrences(docs, key, text).withColumn("rank", F.coalesce("doc_id", F.lit(_LAST)))
     # The aggregation has one row a task for units that are everywhere. Its result is a table of its own, so
     # that both sides of the join are plain exchanges, whose large keys are split at run time.
+    found = found.withColumn("rank", F.struct(F.col("rank").alias("id"), F.col("text_key").alias("text")))
     first = found.groupBy("d1", "d2").agg(F.min("rank").alias("first"), F.max("rank").alias("last"), F.max("again").alias("_any"))
     first = first.filter((F.col("first") < F.col("last")) | F.col("_any")).select("d1", "d2", "first")
     first = staged(first, "repeated")
     repeated = found.join(first, ["d1", "d2"]).filter((F.col("rank") > F.col("first")) | F.col("again"))
     repeated = repeated.groupBy("doc_id", "text_key", "unit").agg(
-        F.min("start").alias("start"), F.min("stop").alias("stop"), F.min("words").alias("words"), F.min("first").alias("first")
+        F.min("start").alias("start"), F.min("stop").alias("stop"), F.min("words").alias("words"), F.min("first.id").alias("first")
     )
     order = Window.partitionBy("doc_id", "text_key").orderBy("unit")
     runs = repeated.withColumn("run", F.col("unit") - F.row_number().over(order))
@@ -97,9 +99,10 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_
 def remove_spans(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows and columns of docs, with the spans cut from the text and their offsets in `removed`, which replaces a column of that name."""
     cuts = spans.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("removed"))
-    cuts = cuts.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "removed")
-    own = docs.withColumn("__own", F.xxhash64(text))
-    joined = own.join(cuts, own[key].cast("long").eqNullSafe(cuts["__id"]) & (own["__own"] == cuts["__key"]), "left").drop("__id", "__key", "__own")
+    cuts = cuts.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "removed")
+    own = docs.select(packed(docs), F.col(key).cast("long").alias("_own"), F.xxhash64(text).alias("_text"))
+    joined = own.join(cuts, own["_own"].eqNullSafe(cuts["_id"]) & (own["_text"] == cuts["_key"]), "left")
+    joined = joined.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns if c.lower() != "removed"], "removed")
     pieces = F.aggregate(
         "removed",
         F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at")),

@@ -70,3 +70,44 @@ def test_long_text_and_empty_tables(spark, tables):
     assert D.scan_documents(docs.limit(0), bench).count() == 0
     assert D.digest(D.scan_documents(docs, bench.limit(0))).filter("contaminated").count() == 0
     assert D.remove_contaminated(docs, bench.limit(0)).count() == docs.count()
+
+
+def test_pieces_have_all_windows():
+    rng = random.Random(3)
+    text = " ".join(f"w{rng.randrange(10**rng.randrange(1, 9))}" for _ in range(500))
+    windows = lambda t: {tuple(t.split()[i : i + 10]) for i in range(len(t.split()) - 9)}
+    for most in (1, 40, 200, 1000, 10_000):
+        found = list(D.pieces(text, most))
+        assert set().union(*map(windows, found)) == windows(text)
+        assert max(map(len, found)) <= max(most, 100) + 100
+    assert list(D.pieces("", 1)) == [""] and list(D.pieces("a b", 1)) == ["a b"]
+
+
+def test_many_windows_with_one_last_block():
+    rng = random.Random(4)
+    items = [(i, " ".join(f"x{rng.randrange(1000)}" for _ in range(7)) + " end of it") for i in range(500)]
+    tools = D.searchers(items)
+    for i, text in items[::50]:
+        assert D.search(D.words_of(f"a b {text} c"), tools) == ([(2, 12)], {i})
+    assert D.search(D.words_of("a b c d e f g end of it"), tools) == ([], set())
+
+
+def test_a_full_block_stays_small():
+    """16 MB of benchmark text; run in a process of its own so that its peak is the searchers'."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = """
+import random, resource
+from lamina.llm import decontaminate as D
+rng = random.Random(1)
+words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(200_000)]
+items = [(i, " ".join(rng.choice(words) for _ in range(300))) for i in range(9_000)]
+assert sum(len(t) for _, t in items) > 14 << 20
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+tools = D.searchers(items)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).resolve().parents[2])
+    assert int(out.stdout.split()[-1]) < 500

@@ -28,6 +28,15 @@ def test_carried_columns(odd_docs):
         S.assign_shards(odd_docs, carry=("size",))
 
 
+def test_whole_rows(odd_docs, odd_rows, no_docs):
+    out = S.placed_rows(odd_docs, shards=5)
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "node", "text_key", "__own_note", "__own", "removed", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    assert Counter((r.doc_id, r.text, r.lang, r.source) for r in out.collect()) == Counter(odd_rows)
+    key = lambda rows: sorted((str(r.doc_id), r.size, r.shard, r.slot) for r in rows)
+    assert key(out.collect()) == key(S.assign_shards(odd_docs, shards=5).collect())
+    assert S.placed_rows(no_docs).count() == 0
+
+
 def test_many_equal_rows(spark):
     docs = spark.range(1000).selectExpr("7L as doc_id", "'same' as text")
     got = S.assign_shards(docs, shards=10).groupBy("shard").count().collect()

@@ -37,6 +37,17 @@ def test_passes_meet_limit_and_weights(docs):
     assert all(sorted(v) == list(range(len(v))) for v in blocks.values())
 
 
+def test_token_budget(docs):
+    for budget in (2_000, 9_000):
+        mix = M.Mix(budget_tokens=budget, block_docs=16)
+        rows = M.schedule(docs, mix).collect()
+        plan = {r.source: r.weight for r in M.source_plan(M.units(docs), mix).collect()}
+        longest = max(r.n_tokens for r in rows)
+        assert abs(sum(r.n_tokens for r in rows) - budget) <= len(plan) * longest
+        for source, weight in plan.items():
+            assert abs(sum(r.n_tokens for r in rows if r.source == source) - weight * budget) <= longest
+
+
 def test_target_entropy(docs):
     plan = M.source_plan(M.units(docs), M.Mix(target_entropy=1.3)).collect()
     assert -sum(r.weight * math.log(r.weight) for r in plan) == pytest.approx(1.3, abs=1e-5)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node string, size string, text_key int, shard string, __own_note string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node string, size string, text_key int, shard string, __own_note string, __own string, removed string"
 LETTERS = "the of and to in is that for it as was with be by on are this at from alpha beta gamma delta"
 
 
@@ -22,4 +22,4 @@ def sentence_text(rng: random.Random, n: int) -> str:
 
 def as_table(spark, rows):
     """Rows (doc_id, text, lang, source) with further columns whose names clash with the operators' own."""
-    return spark.createDataFrame([(i, t, g, s, len(t) if t else None, "x", "y", 1, None, "z") for i, t, g, s in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, g, s, len(t) if t else None, "x", "y", 1, None, "z", "own", "gone") for i, t, g, s in rows], SCHEMA)
