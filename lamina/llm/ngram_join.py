@@ -15,10 +15,10 @@ Documents with equal sets are one node, so that copies cost one row a task. Sign
 blocks, in as many buckets as keep a bucket small; a signature that is frequent in a block travels once for
 the block, as the name of a local group. Each bucket gives its groups of two and more nodes. In rounds, each
 node is compared with one member of the groups it is in, and the links' components are formed. What is left
-are groups with nodes in different components: they meet in tasks of a bounded number of sets, which look at
-pairs across components only, and of those at pairs that share one of their rarest shingles (two sets that
-link share one of the n - ceil(percent * n / 100) + 1 rarest of n). A task returns a forest of the links that
-it finds, so that no link between components is lost and no group is expanded to pairs. Sets are compared
+are groups with nodes in different components. Of their nodes those go on that share one of their rarest shingles
+with another component (two sets that link share one of the n - ceil(percent * n / 100) + 1 rarest of n): they
+meet in tasks of a bounded number of sets, which look at such pairs only. A task returns a forest of the links
+that it finds, so that no link between components is lost and no group is expanded to pairs. Sets are compared
 exactly, as 64-bit shingle hashes. The plan is the same at every size.
 
 Defined cases: null, empty and blank texts have an empty set and are components of their own (component_id
@@ -38,6 +38,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lamina.llm.common import dropped, packed, partitions, staged, text_batches
 from lamina.llm.components import connected_components
@@ -515,10 +516,39 @@ def _forest(percent: int) -> Callable[[pa.Table], pa.Table]:
     return forest
 
 
+def _rare_groups(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """grp, node, component: the nodes of open groups by rare shingles that they share across components, staged.
+
+    Of the order in which shingles of one component come first, then others by rising count, a set's first
+    n - ceil(percent * n / 100) + 1 are its rare ones; two sets that link have one of these in common. So sets
+    that only share passages of many documents do not meet.
+    """
+    nodes = staged(groups.select("node", "component").distinct(), "nodes")
+    each = nodes.join(sets.select("node", "n", "shingles"), "node").select("node", "component", "n", F.explode("shingles").alias("shingle"))
+    several = each.groupBy("shingle").agg(F.count("*").alias("times"), F.min("component").alias("x"), F.max("component").alias("y"))
+    several = staged(several.filter("x <> y").select("shingle", "times"), "several")
+    own = Window.partitionBy("node")
+    rows = each.join(several, "shingle").select(
+        F.col("shingle").alias("grp"),
+        "node",
+        "component",
+        (F.count("*").over(own) + 1 - F.ceil(percent * F.col("n") / 100)).alias("rare"),
+        F.row_number().over(own.orderBy("times", "shingle")).alias("place"),
+    )
+    rare = staged(rows.filter("place <= rare").select("grp", "node", "component"), "rare")
+    still = rare.groupBy("grp").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("grp")
+    out = staged(rare.join(still.hint("rebalance"), "grp", "left_semi"), "open")
+    dropped(nodes, several, rare)
+    return out
+
+
 def _across(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b: links that connect the components of the open groups, staged."""
-    met = _met(_units(groups)).join(sets.select("node", "shingles"), "node")
-    return staged(met.groupBy("unit", "x", "y").applyInArrow(_forest(percent), "a long, b long"), "links")
+    rare = _rare_groups(groups, sets, percent)
+    met = _met(_units(rare)).join(sets.select("node", "shingles"), "node")
+    links = staged(met.groupBy("unit", "x", "y").applyInArrow(_forest(percent), "a long, b long"), "links")
+    dropped(rare)
+    return links
 
 
 def _owned(docs: DataFrame, join: JaccardJoin, key: str, text: str, report: Callable[..., None] | None = None) -> DataFrame:
@@ -531,6 +561,8 @@ def _owned(docs: DataFrame, join: JaccardJoin, key: str, text: str, report: Call
     reps = heads.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("r"))
     nodes = staged(groups.select("node").distinct().join(reps, "node").select("node", "r.doc_id", "r.text_key"), "nodes")
     sets = staged(_sets(docs, nodes, join.width, key, text), "sets")
+    if sets.groupBy("node").agg(F.count("*").alias("rows")).filter("rows > 1").limit(1).count():  # equal rows in several tasks
+        sets = staged(sets.dropDuplicates(["node"]), "sets")
 
     links, tested, labels, old = [], None, None, [nodes]
     for turn in range(STAR_ROUNDS):
