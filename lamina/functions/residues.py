@@ -179,9 +179,10 @@ def final_separator(members: Column) -> Column:
 
 
 def padded(lists: Column, separator: float, at_start: int = 0, at_end: int = 0) -> Column:
-    """Per-residue lists joined, with a fill at separator, start and end slots."""
+    """Per-residue lists joined, with a fill between two lists and at start and end slots."""
     fill = lambda n: F.array_repeat(F.lit(separator), n)
-    return F.concat(fill(at_start), F.flatten(F.transform(lists, lambda x: F.concat(x, fill(1)))), fill(at_end))
+    joined = F.flatten(F.transform(lists, lambda x, i: F.when(i > 0, F.concat(fill(1), x)).otherwise(x)))
+    return F.concat(fill(at_start), joined, fill(at_end))
 
 
 def repeat_guard(s: Column, tail: int = 9, times: int = 9) -> Column:

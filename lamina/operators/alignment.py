@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,21 +51,61 @@ def best_similarity(samples: DataFrame, prompts: DataFrame) -> DataFrame:
     return sizes.join(best, ["msa_id", "row_id"], "left").select("msa_id", "row_id", F.coalesce("best", F.lit(0.0)).alias("best"))
 
 
+#: Rows of an alignment that a task compares, on each side.
+BLOCK_ROWS = 512
+
+
+def neighbour_counts(distinct: DataFrame, gaps: bool, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """msa_id, row_id, n: the copies of the rows that near(equal columns, own size) accepts for each row.
+
+    distinct(msa_id, row_id, aln, copies). A row's size is its columns, or its residues where gaps do not count.
+    Rows are dealt to blocks, each two blocks of an alignment meet in a task as byte matrices, and only counts
+    leave it: no pair of rows is ever a row.
+    """
+    kinds = dict(distinct.dtypes)
+    blocks = distinct.groupBy("msa_id").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    rows = distinct.join(blocks, "msa_id").withColumn("own", F.pmod(F.xxhash64("row_id", "aln"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("msa_id", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "row_id", "aln", "copies")
+
+    def counted(table: pa.Table) -> pa.Table:
+        texts = table.column("aln").to_pylist()
+        width = max(map(len, texts))
+        codes = np.zeros((len(texts), width), dtype=np.uint32)  # 0 stands for no column
+        for i, text in enumerate(texts):
+            codes[i, : len(text)] = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+        counts = codes != 0 if gaps else (codes != 0) & (codes != ord("-"))
+        sizes, copies = counts.sum(axis=1), table.column("copies").to_numpy()
+        left = table.column("own").to_numpy() == table.column("x").to_numpy()
+        sides = [(np.flatnonzero(left), np.flatnonzero(~left)), (np.flatnonzero(~left), np.flatnonzero(left))]
+        if left.all():
+            sides = [(np.arange(len(texts)), np.arange(len(texts)))]
+        n = np.zeros(len(texts), dtype=np.int64)
+        for mine, theirs in sides:
+            others, weights = codes[theirs], copies[theirs]
+            for i in mine.tolist():
+                equal = ((others == codes[i]) & counts[i]).sum(axis=1)
+                n[i] = weights[near(equal, sizes[i])].sum()
+        return pa.table([table.column("msa_id"), table.column("row_id"), pa.array(n)], ["msa_id", "row_id", "n"])
+
+    found = rows.groupBy("msa_id", "x", "y").applyInArrow(counted, f"msa_id {kinds['msa_id']}, row_id {kinds['row_id']}, n long")
+    return found.groupBy("msa_id", "row_id").agg(F.sum("n").alias("n"))
+
+
 def homology_weights(rows: DataFrame, theta: float) -> DataFrame:
     """msa_id, row_id, neighbours, weight, p, n_eff; a row with only gaps is its copies' neighbour alone.
 
     A row's neighbours are the rows whose distance, one minus equal residues over the row's own residues,
-    is at most theta; the row itself counts. Copies are collapsed before pairing.
+    is at most theta; the row itself counts. Copies are collapsed before they meet.
     """
+
+    def near(equal: np.ndarray, size: int) -> np.ndarray:
+        return 1 - equal / size <= theta if size else np.zeros(len(equal), dtype=bool)
+
     distinct = distinct_rows(rows)
-    sizes = distinct.select("msa_id", F.col("row_id").alias("a"), F.length(F.replace("aln", F.lit("-"), F.lit(""))).alias("residues"), F.col("copies").alias("own"))
-    pairs = shared_tokens(distinct.select("msa_id", "row_id", "aln"), gaps=False)
-    near = pairs.join(sizes, ["msa_id", "a"]).filter(1 - F.col("n") / F.col("residues") <= theta)
-    others = distinct.select("msa_id", F.col("row_id").alias("b"), "copies")
-    counts = near.join(others, ["msa_id", "b"]).groupBy("msa_id", "a").agg(F.sum("copies").alias("neighbours"))
-    counts = sizes.join(counts, ["msa_id", "a"], "left").select("msa_id", F.col("a").alias("row_id"), F.coalesce("neighbours", "own").alias("neighbours"))
-    named = distinct.select("msa_id", "row_id", "aln").join(counts, ["msa_id", "row_id"]).select("msa_id", "aln", "neighbours")
-    out = rows.join(named, ["msa_id", "aln"]).withColumn("weight", 1 / F.col("neighbours"))
+    counts = neighbour_counts(distinct, False, near)
+    counts = distinct.join(counts, ["msa_id", "row_id"]).select("msa_id", "aln", F.when(F.col("n") > 0, F.col("n")).otherwise(F.col("copies")).alias("neighbours"))
+    out = rows.join(counts, ["msa_id", "aln"]).withColumn("weight", 1 / F.col("neighbours"))
     total = F.sum("weight").over(Window.partitionBy("msa_id"))
     return out.select("msa_id", "row_id", "neighbours", "weight", (F.col("weight") / total).alias("p"), total.alias("n_eff"))
 
@@ -70,12 +113,8 @@ def homology_weights(rows: DataFrame, theta: float) -> DataFrame:
 def strict_weights(rows: DataFrame, identity: float = 0.8) -> DataFrame:
     """msa_id, row_id, weight: one over the rows that share strictly more than that of all columns, gaps included."""
     distinct = distinct_rows(rows)
-    length = distinct.select("msa_id", F.col("row_id").alias("a"), F.length("aln").alias("columns"))
-    others = distinct.select("msa_id", F.col("row_id").alias("b"), "copies")
-    pairs = shared_tokens(distinct.select("msa_id", "row_id", "aln"), gaps=True).join(length, ["msa_id", "a"])
-    near = pairs.filter(F.col("n") / F.col("columns") > identity).join(others, ["msa_id", "b"])
-    counts = near.groupBy("msa_id", "a").agg(F.sum("copies").alias("n")).select("msa_id", F.col("a").alias("row_id"), (1 / F.col("n")).alias("weight"))
-    named = distinct.select("msa_id", "row_id", "aln").join(counts, ["msa_id", "row_id"]).select("msa_id", "aln", "weight")
+    counts = neighbour_counts(distinct, True, lambda equal, size: equal / size > identity if size else equal < 0)
+    named = distinct.join(counts, ["msa_id", "row_id"]).select("msa_id", "aln", F.when(F.col("n") > 0, 1 / F.col("n")).alias("weight"))
     return rows.join(named, ["msa_id", "aln"]).select("msa_id", "row_id", "weight")
 
 
@@ -179,44 +218,50 @@ def similarity_band(rows: DataFrame, most: float, most_difference: float) -> Dat
     return rows.join(first, "msa_id").withColumn("similarity", s).filter((F.col("similarity") <= most) & (1 - F.col("similarity") <= most_difference)).drop("query")
 
 
-#: Columns times tokens up to which one alignment's covariance matrix is inverted by a task.
-MOST_STATES = 4000
+def contact_matrix(covariance: np.ndarray, column: np.ndarray, is_gap: np.ndarray, penalty: float) -> np.ndarray:
+    """Scores of all pairs of columns from the covariance of their states.
+
+    The inverse of the covariance with penalty on its diagonal is divided by its own diagonal, which then is
+    zero, and made symmetric. Norms are taken over states without gaps; the product of the means of row and
+    column over the mean, all over the matrix with its zero diagonal, is subtracted.
+    """
+    inverse = np.linalg.inv(covariance + np.eye(len(covariance)) * penalty)
+    inverse = inverse / np.diagonal(inverse) - np.eye(len(covariance))
+    squares = (0.5 * (inverse + inverse.T)) ** 2
+    squares[is_gap, :] = 0.0
+    squares[:, is_gap] = 0.0
+    columns, at = np.unique(column, return_inverse=True)
+    member = np.zeros((len(columns), len(column)))
+    member[at, np.arange(len(column))] = 1.0
+    norm = np.sqrt(member @ squares @ member.T)
+    np.fill_diagonal(norm, 0.0)
+    mean = norm.mean() if norm.size else 0.0
+    scores = norm - np.outer(norm.mean(axis=1), norm.mean(axis=0)) / mean if mean else norm
+    np.fill_diagonal(scores, 0.0)
+    return scores
 
 
 def contact_scores(pairs: DataFrame, singles: DataFrame, penalty: float = 4.5) -> DataFrame:
-    """msa_id, i, j, score: inverse shrunk covariance, Frobenius norms without gaps, average product corrected.
+    """msa_id, i, j, score for columns i < j: inverse shrunk covariance, norms without gaps, average product corrected.
 
     pairs(msa_id, i, x, j, y, covariance), singles(msa_id, i, x, frequency, total). The dense matrix of one
-    alignment is columns times tokens wide, which is checked, and independent of the number of rows.
+    alignment is as wide as its columns times tokens, whatever the number of rows; states never seen would
+    only add zeros.
     """
 
     def scores(key: tuple, p: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(set(zip(s.i, s.x, strict=True)))
-        if len(names) > MOST_STATES:
-            raise ValueError(f"{len(names)} states in one alignment")
-        at = {n: k for k, n in enumerate(names)}
-        c = np.zeros((len(names), len(names)))
-        f = np.zeros(len(names))
-        for i, x, freq in zip(s.i, s.x, s.frequency, strict=True):
-            f[at[i, x]] = freq
-        c = -np.outer(f, f) * (np.array([n[0] for n in names])[:, None] == np.array([n[0] for n in names])[None, :])
-        for i, x, j, y, v in zip(p.i, p.x, p.j, p.y, p.covariance, strict=True):
-            c[at[i, x], at[j, y]] = c[at[j, y], at[i, x]] = v
-        seen = {(i, x, j, y) for i, x, j, y in zip(p.i, p.x, p.j, p.y, strict=True)}
-        for (i, x), a in at.items():
-            for (j, y), b in at.items():
-                if i < j and (i, x, j, y) not in seen:
-                    c[a, b] = c[b, a] = -f[a] * f[b]
-        c[np.diag_indices(len(names))] = f - f * f
-        inverse = np.linalg.inv(c + np.eye(len(names)) * penalty / np.sqrt(float(s.total.iloc[0])))
-        columns = sorted({n[0] for n in names})
-        keep = {i: [at[n] for n in names if n[0] == i and n[1] != "-"] for i in columns}
-        norm = np.array([[np.sqrt((inverse[np.ix_(keep[i], keep[j])] ** 2).sum()) if i != j else 0.0 for j in columns] for i in columns])
-        mean = norm.sum() / max(1, len(columns) * (len(columns) - 1))
-        per = norm.sum(axis=1) / max(1, len(columns) - 1)
-        apc = norm - np.outer(per, per) / mean if mean else norm
-        rows = [(key[0], i, j, apc[a, b]) for a, i in enumerate(columns) for b, j in enumerate(columns) if i < j]
-        return pd.DataFrame(rows, columns=["msa_id", "i", "j", "score"])
+        s = s.sort_values(["i", "x"], ignore_index=True)
+        states = pd.MultiIndex.from_arrays([s.i, s.x])
+        column, f = s.i.to_numpy(), s.frequency.to_numpy(dtype=float)
+        # Pairs of states that were never seen together have no row: their joint frequency is zero.
+        c = -np.outer(f, f)
+        a = states.get_indexer(pd.MultiIndex.from_arrays([p.i, p.x]))
+        b = states.get_indexer(pd.MultiIndex.from_arrays([p.j, p.y]))
+        c[a, b] = c[b, a] = p.covariance.to_numpy(dtype=float)
+        c[np.diag_indices(len(f))] = f - f * f
+        names, out = np.unique(column), contact_matrix(c, column, (s.x == "-").to_numpy(), penalty / np.sqrt(float(s.total.iloc[0])))
+        i, j = np.triu_indices(len(names), 1)
+        return pd.DataFrame({"msa_id": key[0], "i": names[i], "j": names[j], "score": out[i, j]})
 
     singles = singles.select(*[F.col(c).alias(c) for c in singles.columns])
     return pairs.groupBy("msa_id").cogroup(singles.groupBy(singles["msa_id"])).applyInPandas(scores, "msa_id string, i int, j int, score double")

@@ -61,10 +61,13 @@ def context_budget(budget: int, longest_completion: Column) -> Column:
 
 
 def variant_budget(budget: int, longest: Column, u: Column) -> Column:
-    """A context budget uniform between half the room and the room, from the uniform u."""
-    room = F.lit(budget) - F.floor(longest * 1.2)
-    low = F.greatest(longest, F.floor(room / 2))
-    return F.when(room <= low, room).otherwise(low + F.floor(u * (room - low + 1))).cast("long")
+    """A context budget drawn evenly from the longest member up to the room, by the uniform u, but at least half the room.
+
+    The room leaves 1.2 times the longest member free; where it is smaller than that member, the draw is the member.
+    """
+    room = F.greatest(F.lit(budget) - F.floor(longest * 1.2), F.lit(0))
+    drawn = F.when(room < longest, longest).otherwise(longest + F.floor(u * (room - longest + 1)))
+    return F.greatest(drawn, F.floor(room / 2)).cast("long")
 
 
 def context_sizes(families: DataFrame, budget: int, completion: int) -> DataFrame:

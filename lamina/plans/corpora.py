@@ -414,9 +414,8 @@ ORACLES = {
     "family_first_occurrence": f"WITH {SEQS} SELECT family_id, md5(sequence) AS digest, min(member_idx) AS member_idx, min_by(accession, member_idx) AS accession FROM s GROUP BY family_id, md5(sequence)",
     "kmer_cluster": f"""WITH d AS (SELECT doc_id AS id, {_LETTERS.format('text')} AS q FROM documents), b AS (SELECT item_id AS id, {_LETTERS.format('text')} AS q FROM benchmark),
         dk AS (SELECT DISTINCT id, substr(q, i, 12) AS k FROM (SELECT id, q, unnest(range(1, greatest(length(q) - 11, 0) + 1)) AS i FROM d)),
-        bk AS (SELECT DISTINCT id, substr(q, i, 12) AS k FROM (SELECT id, q, unnest(range(1, greatest(length(q) - 11, 0) + 1)) AS i FROM b)),
-        rr AS (SELECT k FROM bk GROUP BY k HAVING count(*) <= 5)
-        SELECT dk.id AS query_id, bk.id AS target_id, count(*) AS shared FROM dk JOIN bk USING (k) JOIN rr USING (k) GROUP BY ALL HAVING count(*) >= 20""",
+        bk AS (SELECT DISTINCT id, substr(q, i, 12) AS k FROM (SELECT id, q, unnest(range(1, greatest(length(q) - 11, 0) + 1)) AS i FROM b))
+        SELECT dk.id AS query_id, bk.id AS target_id, count(*) AS shared FROM dk JOIN bk USING (k) GROUP BY ALL HAVING count(*) >= 20""",
     "results_upsert": """WITH o AS (SELECT o_orderpriority, o_custkey, max_by(o_totalprice, o_orderkey) FILTER (o_orderkey % 3 = 0) AS n, max_by(o_totalprice, o_orderkey) FILTER (o_orderkey % 3 <> 0) AS p FROM orders GROUP BY ALL)
         SELECT o_orderpriority, o_custkey, coalesce(n, p) AS value FROM o""",
     "resume_antijoin": f"WITH {SEQS} SELECT doc_id, family_id FROM s WHERE doc_id NOT IN (SELECT doc_id FROM labels)",

@@ -262,8 +262,9 @@ ORACLES = {
         t AS (SELECT *, least(floor(7187 / nullif(a, 0))::BIGINT + 2, n) AS top FROM f) SELECT family_id, least(top, 2) AS lo, least(top, n) AS hi FROM t""",
     "budget_context_prefix": f"WITH {SEQS}, {_RUN} SELECT family_id, count(*) FILTER (t + 1002 <= 8192) AS n FROM r GROUP BY family_id",
     "budget_variants": f"""WITH {SEQS}, f AS (SELECT family_id, max(seq_len) AS longest FROM s GROUP BY family_id),
-        r AS (SELECT *, 65536 - floor(longest * 1.2::DOUBLE) AS room FROM f), l AS (SELECT *, greatest(longest, floor(room / 2)) AS low FROM r)
-        SELECT family_id, CASE WHEN room <= low THEN room ELSE low + floor({UNIFORM.format("'variant|' || family_id")} * (room - low + 1)) END::BIGINT AS budget, 65536 - longest - 2 AS context FROM l""",
+        r AS (SELECT *, greatest(65536 - floor(longest * 1.2::DOUBLE), 0) AS most, {UNIFORM.format("'variant|' || family_id")} AS u FROM f),
+        l AS (SELECT *, CASE WHEN most + 1 <= longest THEN longest ELSE longest + floor(u * (most + 1 - longest)) END AS tokens FROM r)
+        SELECT family_id, greatest(tokens, floor(most / 2))::BIGINT AS budget, 65536 - longest - 2 AS context FROM l""",
     "family_join_sequences": f"WITH {SEQS} SELECT family_id, member_idx AS member_pos, doc_id AS seq_idx, accession, md5(sequence) AS sequence FROM s",
     "document_gather": f"WITH {SEQS} SELECT family_id, string_agg(accession, ',' ORDER BY member_idx DESC) AS reversed, count(*) AS original_size FROM s GROUP BY family_id",
     "document_representative": f"WITH {SEQS} SELECT family_id, min_by(accession, member_idx) AS representative, count(*) - 1 AS others FROM s GROUP BY family_id",

@@ -193,12 +193,65 @@ def nonstandard_filter(spark, sf):
     return table(spark, sf, "part").filter(M.standard_only(F.upper("p_name"))).select("p_partkey")
 
 
+def encoded_parts(spark, sf):
+    """Index encoding of letters by an alphabet with one code for all others, and back."""
+    letters = F.upper(F.regexp_replace("p_type", "[^A-Za-z]", ""))
+    codes = R.alphabet_code(letters, R.HOMOLOGY_ALPHABET, 20)
+    return table(spark, sf, "part").select(
+        "p_partkey", F.array_join(F.transform(codes, lambda x: x.cast("string")), ",").alias("codes"), R.decoded(codes, R.HOMOLOGY_ALPHABET + "?").alias("letters")
+    )
+
+
+def padded_lists(spark, sf):
+    """Per-residue values of a conversation's turns, with a fill at the start, at the end and between turns."""
+    turns = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.length("text").alias("n")))).alias("t"))
+    lists = F.transform("t", lambda x: F.array_repeat(x["turn"].cast("double"), F.least(x["n"], F.lit(5))))
+    return turns.select("conv_id", F.array_join(F.transform(R.padded(lists, -1.0, 1, 1), lambda x: x.cast("int").cast("string")), ",").alias("padded"))
+
+
+def sliced_members(spark, sf):
+    s = R.sliced(F.col("sequence"), F.lit(3), F.least(F.length("sequence"), F.lit(40)))
+    return sequences(spark, sf).select("accession", F.length(s).alias("n"), F.md5(s).alias("part"))
+
+
+def strict_distances(spark, sf):
+    """Parts against the next brand's part of the same name length: equal lengths only, else it is an error."""
+    rows = table(spark, sf, "part").select("p_brand", "p_name", F.length("p_name").alias("n")).distinct()
+    first = rows.groupBy("n").agg(F.min("p_name").alias("first"))
+    return rows.join(first, "n").select("p_brand", "p_name", R.strict_hamming(F.col("p_name"), F.col("first")).alias("distance"))
+
+
+def family_names(spark, sf):
+    path = F.concat(F.lit("data/"), "p_brand", F.lit("/"), F.replace("p_type", F.lit(" "), F.lit(".")), F.lit(".a3m"))
+    return table(spark, sf, "part").select("p_partkey", R.family_of(path).alias("family"))
+
+
+def _records(spark, sf):
+    rows = sequences(spark, sf).groupBy("family_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("member_idx", F.col("doc_id").alias("d"), F.substr("sequence", F.lit(1), F.lit(30)).alias("s")))),
+            lambda m: F.concat(F.lit(">"), F.pmod(m["d"], F.lit(7)).cast("string"), F.lit("\n"), m["s"])), "\n").alias("value")
+    )
+    return T.fasta(rows.select(F.concat("family_id", F.lit(".fasta")).alias("file"), "value"))
+
+
+def sequences_by_name(spark, sf):
+    """The last of several records of a name in a file."""
+    return T.by_name(_records(spark, sf).withColumn("accession", F.concat_ws("|", "file", "accession")).withColumn("seq_idx", F.col("seq_idx")))
+
+
+def family_sources(spark, sf):
+    """FASTA files of families as the lines of one .sequences and one .mapping file."""
+    lines, lists = T.family_files(_records(spark, sf))
+    return lines.select(F.lit("sequences").alias("kind"), F.md5("value").alias("line")).unionByName(lists.select(F.lit("mapping").alias("kind"), F.md5("value").alias("line")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         seq_clean_gaps, seq_clean_insertions, seq_parse_modes, seq_uo_fix, seq_positions_msa, seq_split_gap_runs, seq_uniprot_regex, fasta_roundtrip,
         sequences_file_roundtrip, mapping_parse, first_records, fasta_lines, csv_fields, jsonl_fields, cluster_sessions, document_json, coordinate_text,
         candidates, token_encode, token_decode, homology_encode, repeat_guard, random_crop, content_hashes, confidence_colors, length_filter, nonstandard_filter,
+        encoded_parts, padded_lists, sliced_members, strict_distances, family_names, sequences_by_name, family_sources,
     )
 }
 
@@ -254,4 +307,20 @@ ORACLES = {
         o AS (SELECT accession, CASE WHEN a < 0.5 THEN substr(sequence, floor(c * (n - size + 1))::BIGINT + 1, size::BIGINT) ELSE sequence END AS x FROM z)
         SELECT accession, length(x) AS n, md5(x) AS cropped FROM o""",
 }
+_RECORDS = f"""WITH {SEQS}, r AS (SELECT family_id, member_idx, (doc_id % 7)::VARCHAR AS name, substr(sequence, 1, 30) AS q FROM s)"""
+ORACLES |= {
+    "encoded_parts": f"""WITH p AS (SELECT p_partkey, upper(regexp_replace(p_type, '[^A-Za-z]', '', 'g')) AS t FROM part)
+        SELECT p_partkey, array_to_string(list_transform(string_split(t, ''), lambda c: CASE WHEN strpos('{R.HOMOLOGY_ALPHABET}', c) > 0
+          THEN strpos('{R.HOMOLOGY_ALPHABET}', c) - 1 ELSE 20 END), ',') AS codes, regexp_replace(t, '[^{R.HOMOLOGY_ALPHABET}]', '?', 'g') AS letters FROM p""",
+    "padded_lists": """SELECT conv_id, '-1,' || string_agg(rtrim(repeat(turn || ',', least(length(text), 5)::BIGINT), ','), ',-1,' ORDER BY turn) || ',-1' AS padded
+        FROM conversations GROUP BY conv_id""",
+    "sliced_members": f"WITH {SEQS} SELECT accession, length(x) AS n, md5(x) AS part FROM (SELECT accession, sequence[4:40] AS x FROM s)",
+    "strict_distances": """WITH p AS (SELECT DISTINCT p_brand, p_name FROM part), f AS (SELECT length(p_name) AS n, min(p_name) AS first FROM p GROUP BY 1)
+        SELECT p_brand, p_name, hamming(p_name, first)::BIGINT AS distance FROM p JOIN f ON n = length(p_name)""",
+    "family_names": "SELECT p_partkey, split_part(p_type, ' ', 1) AS family FROM part",
+    "sequences_by_name": f"{_RECORDS} SELECT family_id || '.fasta|' || name AS accession, max_by(q, member_idx) AS sequence FROM r GROUP BY family_id, name",
+    "family_sources": f"""{_RECORDS}, g AS (SELECT *, row_number() OVER (ORDER BY family_id || '.fasta', member_idx) - 1 AS i FROM r)
+        SELECT 'sequences' AS kind, md5('>' || name || chr(10) || q) AS line FROM g
+        UNION ALL SELECT 'mapping', md5('>' || family_id || chr(10) || 'all.sequences:' || string_agg(i::VARCHAR, ',' ORDER BY i)) FROM g GROUP BY family_id""",
+}
 ORACLES["random_crop"] = ORACLES["random_crop"].format(**{f"u{i}": UNIFORM.format(f"'crop{i}|' || accession") for i in range(3)})
