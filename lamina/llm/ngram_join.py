@@ -331,6 +331,7 @@ def _united(found: DataFrame) -> DataFrame:
 def _sets(docs: DataFrame, wanted: DataFrame, width: int, key: str, text: str) -> DataFrame:
     """node, n, sketch, shingles for the representatives in wanted (node, doc_id, text_key)."""
     rows = docs.select(F.col(key).cast("long").alias("_id"), F.xxhash64(text).alias("_key"), F.col(text).alias("text"))
+    wanted = wanted.hint("merge")  # texts and sets meet their keys by the same join at every size
     rows = rows.join(wanted, rows["_id"].eqNullSafe(wanted["doc_id"]) & (rows["_key"] == wanted["text_key"])).select("node", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,14 +368,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     total = F.col("n_a") + F.col("n_b")
     apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda t, d: t + d)
-    near = pairs.join(side("a", "sketch"), "a").join(side("b", "sketch"), "b")
+    near = pairs.join(side("a", "sketch").hint("merge"), "a").join(side("b", "sketch").hint("merge"), "b")
     near = staged(near.filter(apart * (100 + percent) <= total * (100 - percent)).select("a", "b").distinct(), "near")
     both = F.size(F.array_intersect("shingles_a", "shingles_b")).cast("long")
 
     def needed(pair_end: str) -> DataFrame:
-        return side(pair_end, "shingles").join(near.select(pair_end).distinct(), pair_end, "left_semi")
+        return side(pair_end, "shingles").join(near.select(pair_end).distinct().hint("merge"), pair_end, "left_semi")
 
-    known = near.join(needed("b"), "b").join(needed("a"), "a")
+    known = near.join(needed("b").hint("merge"), "b").join(needed("a").hint("merge"), "a")
     links = staged(known.filter(100 * both >= percent * (total - both)).select("a", "b"), "links")
     dropped(near)
     return links
@@ -516,7 +517,7 @@ def _forest(percent: int) -> Callable[[pa.Table], pa.Table]:
 
 
 #: Cells in which shingles of open groups are counted: a table of this size, whatever the input, goes to every task.
-FREQUENCY_CELLS = 1 << 18
+FREQUENCY_CELLS = 1 << 20
 
 
 def _cell_counts(each: DataFrame) -> np.ndarray:
@@ -532,10 +533,9 @@ def _cell_counts(each: DataFrame) -> np.ndarray:
             part = cells[at : at + 50_000]
             yield pa.record_batch([pa.array(part.astype(np.int32)), pa.array(total[part])], ["cell", "times"])
 
-    rows = each.select("shingles").mapInArrow(counted, "cell int, times long").groupBy("cell").agg(F.sum("times").alias("times")).collect()
+    rows = each.select("shingles").mapInArrow(counted, "cell int, times long").groupBy("cell").agg(F.sum("times").alias("times")).toArrow()
     out = np.zeros(FREQUENCY_CELLS, dtype=np.int64)
-    for cell, times in rows:
-        out[cell] = times
+    out[rows.column("cell").to_numpy()] = rows.column("times").to_numpy()
     return out
 
 
@@ -547,7 +547,7 @@ def _rare_groups(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     only share passages of many documents do not meet.
     """
     nodes = groups.select("node", "component").distinct()
-    each = staged(nodes.join(sets.select("node", "shingles"), "node"), "open_sets")
+    each = staged(nodes.hint("merge").join(sets.select("node", "shingles"), "node"), "open_sets")
     counts = _cell_counts(each)
     handle = each.sparkSession.sparkContext.broadcast(counts)  # FREQUENCY_CELLS numbers
 
@@ -575,7 +575,7 @@ def _rare_groups(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _across(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b: links that connect the components of the open groups, staged."""
     rare = _rare_groups(groups, sets, percent)
-    met = _met(_units(rare)).join(sets.select("node", "shingles"), "node")
+    met = _met(_units(rare)).hint("merge").join(sets.select("node", "shingles"), "node")
     links = staged(met.groupBy("unit", "x", "y").applyInArrow(_forest(percent), "a long, b long"), "links")
     dropped(rare)
     return links
@@ -654,6 +654,6 @@ def one_of_each(docs: DataFrame, join: JaccardJoin, key: str = "doc_id", text: s
     dropped(owned)
     marks = keep.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
     whole = docs.select(packed(docs), F.col(key).cast("long").alias("_own"), F.xxhash64(text).alias("_text"))
-    kept = whole.join(marks, whole["_own"].eqNullSafe(marks["_id"]) & (whole["_text"] == marks["_key"]), "left_semi").select("_row.*")
+    kept = whole.join(marks.hint("merge"), whole["_own"].eqNullSafe(marks["_id"]) & (whole["_text"] == marks["_key"]), "left_semi").select("_row.*")
     # Only where ids repeat do whole rows have to meet.
     return kept.dropDuplicates([key, text]) if keep.filter("rows > 1").limit(1).count() else kept
