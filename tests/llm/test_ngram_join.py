@@ -58,6 +58,43 @@ def test_families_of_near_copies(spark, join, monkeypatch):
     assert found(as_table(spark, rows).repartition(4), join) == brute(rows, join.width, join.percent)
 
 
+@pytest.mark.parametrize("small", ["HOT_RUN", "UNIT_NODES", "FREQUENCY_CELLS"])
+def test_hot_signatures_and_large_units(spark, monkeypatch, small):
+    rng, rows = random.Random(13), []
+    base, passage = words(rng, 40), words(rng, 45)
+    for i in range(150):  # near copies of one text, and texts that share a passage but are not alike
+        copy = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3])):
+            copy[rng.randrange(len(copy))] = f"w{rng.randrange(1000)}"
+        rows.append((len(rows) + 1, " ".join(copy if i % 2 else passage + [f"v{rng.randrange(10**6)}" for _ in range(9)]), "en", "s"))
+    monkeypatch.setattr(N, small, 3)
+    monkeypatch.setattr(N, "BLOCK_NODES", 16)
+    assert found(as_table(spark, rows).repartition(2), N.JaccardJoin()) == brute(rows, 4, 85)
+
+
+def test_thousands_of_near_copies(spark):
+    rng, rows = random.Random(17), []
+    base = [f"b{i}" for i in range(50)]
+    for _ in range(3000):
+        copy = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4])):
+            copy[rng.randrange(len(copy))] = f"w{rng.randrange(10**6)}"
+        rows.append((len(rows) + 1, " ".join(copy), "en", "s"))
+    sets = [shingles(t, 4) for _, t, _, _ in rows]
+    names = {x: i for i, x in enumerate(sorted({x for s in sets for x in s if all(w[:1] == b"b" for w in x)}))}
+    table = np.zeros((len(sets), len(names)), dtype=np.float32)
+    for i, s in enumerate(sets):
+        table[i, [names[x] for x in s if x in names]] = 1  # shingles with a changed word are in one text each
+    both, size = (table @ table.T).astype(np.int64), np.array([len(s) for s in sets])
+    near = 100 * both >= 85 * (size[:, None] + size[None, :] - both)
+    label = np.arange(len(sets))
+    while (new := np.where(near, label[None, :], len(sets)).min(axis=1).clip(max=label)).tolist() != label.tolist():
+        label = new
+    want = {i + 1: int(label[i]) + 1 for i in range(len(sets))}
+    got = {r.doc_id: r.component_id for r in N.link_components(as_table(spark, rows).repartition(4)).collect()}
+    assert got == want and 1 < len(set(want.values())) < 3000
+
+
 def test_signatures_of_similar_sets_meet():
     rng = np.random.default_rng(1)
     for join in (N.JaccardJoin(), N.JaccardJoin(percent=80)):
