@@ -38,6 +38,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lamina.llm.common import dropped, packed, partitions, staged, text_batches
 from lamina.llm.components import connected_components
@@ -516,59 +517,29 @@ def _forest(percent: int) -> Callable[[pa.Table], pa.Table]:
     return forest
 
 
-#: Cells in which shingles of open groups are counted: a table of this size, whatever the input, goes to every task.
-FREQUENCY_CELLS = 1 << 20
-
-
-def _cell_counts(each: DataFrame) -> np.ndarray:
-    """How many of the sets' shingles fall into each cell; only this table reaches the driver."""
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(FREQUENCY_CELLS, dtype=np.int64)
-        for batch in batches:
-            values = batch.column(0).flatten().to_numpy().view(np.uint64)
-            total += np.bincount((values % _U(FREQUENCY_CELLS)).astype(np.int64), minlength=FREQUENCY_CELLS)
-        cells = np.flatnonzero(total)
-        for at in range(0, len(cells), 50_000):
-            part = cells[at : at + 50_000]
-            yield pa.record_batch([pa.array(part.astype(np.int32)), pa.array(total[part])], ["cell", "times"])
-
-    rows = each.select("shingles").mapInArrow(counted, "cell int, times long").groupBy("cell").agg(F.sum("times").alias("times")).toArrow()
-    out = np.zeros(FREQUENCY_CELLS, dtype=np.int64)
-    out[rows.column("cell").to_numpy()] = rows.column("times").to_numpy()
-    return out
-
-
 def _rare_groups(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """grp, node, component: the nodes of open groups by rare shingles that they share across components, staged.
 
-    In the order of the counts of their cells, a set's first n - ceil(percent * n / 100) + 1 shingles are its rare
-    ones; two sets that link have one of these in common, as in any order that is the same for all. So sets that
-    only share passages of many documents do not meet.
+    Shingles of one component come first in the order, then the others by the number of nodes that hold them. A
+    set's first n - ceil(percent * n / 100) + 1 shingles are its rare ones; two sets that link have one of these in
+    common, as in any order that is the same for all, and across components it is one of several components. So
+    sets that only share passages of many documents do not meet. Counts are exact at every size.
     """
     nodes = groups.select("node", "component").distinct()
-    each = staged(nodes.hint("merge").join(sets.select("node", "shingles"), "node"), "open_sets")
-    counts = _cell_counts(each)
-    handle = each.sparkSession.sparkContext.broadcast(counts)  # FREQUENCY_CELLS numbers
-
-    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = handle.value
-        for batch in batches:
-            found = []
-            for at in range(batch.num_rows):
-                own = batch.column(2)[at].values.to_numpy()
-                times = table[(own.view(np.uint64) % _U(FREQUENCY_CELLS)).astype(np.int64)]
-                first = np.lexsort((own, times))[: len(own) + 1 + -percent * len(own) // 100]
-                found.append(own[first][times[first] > 1])  # alone in its cell, a shingle is in no other set
-            sizes = np.array([len(x) for x in found])
-            owner = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
-            columns = [pa.array(np.concatenate(found)), batch.column(0).take(owner), batch.column(1).take(owner)]
-            yield pa.record_batch(columns, ["grp", "node", "component"])
-
-    rare = staged(each.select("node", "component", "shingles").mapInArrow(rarest, "grp long, node long, component long"), "rare")
+    each = staged(nodes.hint("merge").join(sets.select("node", "n", "shingles"), "node"), "open_sets")
+    held = each.select(F.explode("shingles").alias("grp"), "component").groupBy("grp")
+    held = held.agg(F.count("*").alias("times"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
+    shared = each.select("node", F.explode("shingles").alias("grp")).join(held.select("grp", "times").hint("rebalance"), "grp")
+    shared = staged(shared, "shared")
+    place = F.row_number().over(Window.partitionBy("node").orderBy("times", "grp"))
+    several = F.count("*").over(Window.partitionBy("node"))
+    ranked = shared.select("grp", "node", place.alias("place"), several.alias("several"))
+    ranked = ranked.join(each.select("node", "component", "n").hint("merge"), "node")
+    first = F.col("n") + 1 + F.floor(F.lit(-percent) * F.col("n") / 100)
+    rare = staged(ranked.filter(F.col("place") <= first - (F.col("n") - F.col("several"))).select("grp", "node", "component"), "rare")
     still = rare.groupBy("grp").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("grp")
     out = staged(rare.join(still.hint("rebalance"), "grp", "left_semi"), "open")
-    dropped(each, rare)
+    dropped(each, shared, rare)
     return out
 
 

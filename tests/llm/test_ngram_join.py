@@ -58,7 +58,7 @@ def test_families_of_near_copies(spark, join, monkeypatch):
     assert found(as_table(spark, rows).repartition(4), join) == brute(rows, join.width, join.percent)
 
 
-@pytest.mark.parametrize("small", ["HOT_RUN", "UNIT_NODES", "FREQUENCY_CELLS"])
+@pytest.mark.parametrize("small", ["HOT_RUN", "UNIT_NODES"])
 def test_hot_signatures_and_large_units(spark, monkeypatch, small):
     rng, rows = random.Random(13), []
     base, passage = words(rng, 40), words(rng, 45)
