@@ -529,8 +529,9 @@ def _rare_groups(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     each = staged(nodes.hint("merge").join(sets.select("node", "n", "shingles"), "node"), "open_sets")
     held = each.select(F.explode("shingles").alias("grp"), "component").groupBy("grp")
     held = held.agg(F.count("*").alias("times"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
-    shared = each.select("node", F.explode("shingles").alias("grp")).join(held.select("grp", "times").hint("rebalance"), "grp")
-    shared = staged(shared, "shared")
+    held = staged(held.select("grp", "times"), "held")  # the shuffle files of the counts go before shingles travel again
+    shared = staged(each.select("node", F.explode("shingles").alias("grp")).join(held.hint("merge"), "grp"), "shared")
+    dropped(held)
     place = F.row_number().over(Window.partitionBy("node").orderBy("times", "grp"))
     several = F.count("*").over(Window.partitionBy("node"))
     ranked = shared.select("grp", "node", place.alias("place"), several.alias("several"))
@@ -579,7 +580,9 @@ def _owned(docs: DataFrame, join: JaccardJoin, key: str, text: str, report: Call
             report(open=groups, stars=stars, links=new)
         if labels is None or new.limit(1).count():
             labels = staged(connected_components(_all(links)), "labels")
-    groups = _open(groups, labels)
+    former, groups = groups, _open(groups, labels)
+    if labels is not None:
+        dropped(former)
     if groups.limit(1).count():
         links.append(_across(groups, sets, join.percent))
         if report:
