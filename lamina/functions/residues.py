@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 #: Residue order of the homology code; anything else is 20.
 HOMOLOGY_ALPHABET = "ACDEFGHIKLMNPQRSTVWY"
 #: Token order of the vocabulary; specials follow.
-TOKEN_ALPHABET = "ARNDCQEGHILKMFPSTWYVXBZJ-arndcqeghilkmfpstwyv"
+TOKEN_ALPHABET = "ARNDCQEGHILKMFPSTWYVXBZJ-arndcqeghilkmfpstwyvx"
 PAD, START, END, SEP, UNK, MASK = 46, 47, 48, 49, 50, 51
 MSA_DOC, RAW_DOC, RAW_POSITIONS_DOC = 62, 63, 64
 IGNORE = -100
@@ -162,6 +162,30 @@ def document_ids(members: Column, marker: int = RAW_DOC, allow_unknown: bool = F
     return F.concat(F.array(F.lit(START), F.lit(marker)), body)
 
 
+def prompt_ids(context: Column, marker: int = RAW_DOC, allow_unknown: bool = False) -> Column:
+    """[start][marker] s1 [SEP] s2 ... without the last separator, which opens the completion; without context [start]."""
+    ids = document_ids(context, marker, allow_unknown)
+    return F.when(F.size(context) > 0, F.slice(ids, 1, F.size(ids) - 1)).otherwise(F.array(F.lit(START)))
+
+
+def completion_ids(s: Column, context: Column, marker: int = RAW_DOC, allow_unknown: bool = False) -> Column:
+    """[SEP] s [SEP]; without context the document's marker opens the completion."""
+    opening = F.when(F.size(context) > 0, F.lit(SEP)).otherwise(F.lit(marker))
+    return F.concat(F.array(opening), token_ids(s, allow_unknown), F.array(F.lit(SEP)))
+
+
+#: Residues that generation never writes, beside lower-case ones.
+UNWANTED = "XxBJOUZ"
+FIRST_SPECIAL, LAST_SPECIAL = 46, 67
+
+
+def bad_token_ids(sample_gaps: bool) -> Column:
+    """Ids that generation must not choose: specials but the separator, unwanted and lower-case residues, and gaps unless wanted."""
+    letters = UNWANTED + "".join(c for c in TOKEN_ALPHABET if c.islower()) + ("" if sample_gaps else "-")
+    ids = [TOKEN_ALPHABET.index(c) if c in TOKEN_ALPHABET else UNK for c in letters] + [i for i in range(FIRST_SPECIAL, LAST_SPECIAL + 1) if i != SEP]
+    return F.array(*[F.lit(i) for i in sorted(set(ids))])
+
+
 def document_string(members: Column, start: str = "[start-of-document]", marker: str = "[RAW]") -> Column:
     return F.concat(F.lit(start), F.lit(marker), F.array_join(members, "[SEP]"), F.lit("[SEP]"))
 

@@ -55,12 +55,12 @@ def best_similarity(samples: DataFrame, prompts: DataFrame) -> DataFrame:
 BLOCK_ROWS = 512
 
 
-def neighbour_counts(distinct: DataFrame, gaps: bool, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """msa_id, row_id, n: the copies of the rows that near(equal columns, own size) accepts for each row.
+def block_values(distinct: DataFrame, gaps: bool, value: Callable, kind: str, fold: Callable[[str], Column]) -> DataFrame:
+    """msa_id, row_id, n: fold over blocks of value(equal columns, own size, sizes, copies, is the row) for each row.
 
     distinct(msa_id, row_id, aln, copies). A row's size is its columns, or its residues where gaps do not count.
-    Rows are dealt to blocks, each two blocks of an alignment meet in a task as byte matrices, and only counts
-    leave it: no pair of rows is ever a row.
+    Rows are dealt to blocks, each two blocks of an alignment meet in a task as byte matrices, and only values
+    of single rows leave it: no pair of rows is ever a row.
     """
     kinds = dict(distinct.dtypes)
     blocks = distinct.groupBy("msa_id").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
@@ -80,16 +80,52 @@ def neighbour_counts(distinct: DataFrame, gaps: bool, near: Callable[[np.ndarray
         sides = [(np.flatnonzero(left), np.flatnonzero(~left)), (np.flatnonzero(~left), np.flatnonzero(left))]
         if left.all():
             sides = [(np.arange(len(texts)), np.arange(len(texts)))]
-        n = np.zeros(len(texts), dtype=np.int64)
+        n = np.zeros(len(texts), dtype=np.int64 if kind == "long" else float)
         for mine, theirs in sides:
             others, weights = codes[theirs], copies[theirs]
             for i in mine.tolist():
                 equal = ((others == codes[i]) & counts[i]).sum(axis=1)
-                n[i] = weights[near(equal, sizes[i])].sum()
+                n[i] = value(equal, sizes[i], sizes[theirs], weights, theirs == i)
         return pa.table([table.column("msa_id"), table.column("row_id"), pa.array(n)], ["msa_id", "row_id", "n"])
 
-    found = rows.groupBy("msa_id", "x", "y").applyInArrow(counted, f"msa_id {kinds['msa_id']}, row_id {kinds['row_id']}, n long")
-    return found.groupBy("msa_id", "row_id").agg(F.sum("n").alias("n"))
+    found = rows.groupBy("msa_id", "x", "y").applyInArrow(counted, f"msa_id {kinds['msa_id']}, row_id {kinds['row_id']}, n {kind}")
+    return found.groupBy("msa_id", "row_id").agg(fold("n").alias("n"))
+
+
+def neighbour_counts(distinct: DataFrame, gaps: bool, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """msa_id, row_id, n: the copies of the rows that near(equal columns, own size) accepts for each row."""
+    return block_values(distinct, gaps, lambda equal, size, _sizes, copies, _own: copies[near(equal, size)].sum(), "long", F.sum)
+
+
+def best_among(rows: DataFrame) -> DataFrame:
+    """msa_id, row_id, best: each row's largest share of equal residues with another row; null if it is alone.
+
+    Equal non-gap columns over the larger ungapped length, 0 without any; a copy is another row.
+    """
+
+    def largest(equal, size, sizes, copies, own):
+        share = equal / np.maximum(np.maximum(size, sizes), 1)
+        share = share[~own | (copies > 1)]
+        return share.max() if len(share) else -1.0
+
+    distinct = distinct_rows(rows)
+    found = distinct.join(block_values(distinct, False, largest, "double", F.max), ["msa_id", "row_id"]).select("msa_id", "aln", "n")
+    return rows.join(found, ["msa_id", "aln"]).select("msa_id", "row_id", F.when(F.col("n") >= 0, F.col("n")).alias("best"))
+
+
+def pairwise_summary(rows: DataFrame) -> DataFrame:
+    """msa_id, rows, mean_identity, mean_distance, mean_gaps over all pairs i < j, copies included.
+
+    A column token of n rows is equal in n (n - 1) / 2 pairs, so that token counts give the means and no pairs
+    are formed. The first two means are null for a single row.
+    """
+    counts = cells(rows).groupBy("msa_id", "col", "token").agg(F.count("*").cast("double").alias("n"))
+    sums = counts.groupBy("msa_id").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("same"), F.sum(F.when(F.col("token") == "-", F.col("n")).otherwise(0.0)).alias("gaps"))
+    sizes = rows.groupBy("msa_id").agg(F.count("*").alias("rows"), F.max(F.length("aln")).alias("l"))
+    each = F.try_divide(F.col("same"), F.col("rows") * (F.col("rows") - 1) / 2)
+    return sizes.join(sums, "msa_id").select(
+        "msa_id", "rows", (each / F.col("l")).alias("mean_identity"), (F.col("l") - each).alias("mean_distance"), (F.col("gaps") / F.col("rows")).alias("mean_gaps")
+    )
 
 
 def homology_weights(rows: DataFrame, theta: float) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -139,3 +141,9 @@ def learning_rate(step: Column, warmup: int, stable: int, decay: int, least: flo
     """Linear warm-up, a plateau, and a linear decay to the least share."""
     down = 1 - (step - warmup - stable) / float(decay) * (1 - least)
     return F.when(step < warmup, step / float(warmup)).when(step < warmup + stable, 1.0).otherwise(F.greatest(F.lit(least), down))
+
+
+def cosine_rate(step: Column, warmup: int, total: int, least: float = 0.0) -> Column:
+    """Linear warm-up, then half a cosine from 1 to the least share at the last step."""
+    half = 0.5 * (1 + F.cos((step - warmup) / float(max(1, total - warmup)) * math.pi))
+    return F.when(step < warmup, step / float(max(1, warmup))).otherwise(F.greatest(F.lit(0.0), half * (1 - least) + least))

@@ -97,3 +97,12 @@ def relabelled(rows: DataFrame, family: str, label: str, pos: str) -> DataFrame:
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
+
+
+def combined(prompt: DataFrame, generated: DataFrame, group: str, order: str) -> DataFrame:
+    """Both tables' rows with role, place (from 0) and generated_start: the prompt's rows come first in each group."""
+    both = prompt.withColumn("role", F.lit("prompt")).unionByName(generated.withColumn("role", F.lit("generated")))
+    later = F.col("role") == "generated"
+    place = F.row_number().over(Window.partitionBy(group).orderBy(later, order)) - 1
+    start = F.sum((~later).cast("long")).over(Window.partitionBy(group))
+    return both.select("*", place.alias("place"), start.alias("generated_start"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lamina.functions import residues as R
 from lamina.functions.residues import IGNORE, PAD
 
 
@@ -101,6 +102,14 @@ def padded_ids(ids: Column, longest: Column, value: int = 0) -> Column:
     return F.concat(ids, F.array_repeat(F.lit(value), F.greatest(F.lit(0), longest - F.size(ids))))
 
 
+def assembled(rows: DataFrame, batch: str, marker: int = R.RAW_DOC) -> DataFrame:
+    """prompt_ids and completion_ids of rows (context: array of sequences, completion); completions are padded to the batch's longest."""
+    ids = rows.withColumn("prompt_ids", R.prompt_ids(F.col("context"), marker, True))
+    ids = ids.withColumn("completion_ids", R.completion_ids(F.col("completion"), F.col("context"), marker, True))
+    longest = F.max(F.size("completion_ids")).over(Window.partitionBy(batch))
+    return ids.withColumn("completion_ids", padded_ids(F.col("completion_ids"), longest, R.PAD))
+
+
 def labels(ids: Column, gap_id: int | None = None, mask_id: int | None = None) -> Column:
     """Ids with pads, and if asked gaps and masks, ignored."""
     ignored = [PAD, *([gap_id] if gap_id is not None else []), *([mask_id] if mask_id is not None else [])]

@@ -51,6 +51,26 @@ def block_shuffled(rows: DataFrame, index: str, size: int, seed: str) -> DataFra
     return rows.join(offsets, "block").withColumn("new_pos", F.col("before") + F.row_number().over(inside) - 1).drop("before")
 
 
+def rolling_files(rows: DataFrame, key: str, per_file: int, seed: str) -> DataFrame:
+    """file_no, place: rows in hash order over the whole table, per_file to a file.
+
+    Offsets are over the first digits of the hashes, 4,096 rows at most; a window inside equal digits gives the rest.
+    """
+    rows = rows.withColumn("_h", hash_order(seed, F.col(key))).withColumn("_top", F.substring("_h", 1, 3))
+    up_to = Window.orderBy("_top").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("_top").agg(F.count("*").alias("_n"))
+    above = counts.select("_top", F.coalesce(F.sum("_n").over(up_to), F.lit(0)).alias("_above"))
+    place = F.col("_above") + F.row_number().over(Window.partitionBy("_top").orderBy("_h", key)) - 1
+    out = rows.join(F.broadcast(above), "_top").withColumn("place", place)
+    return out.withColumn("file_no", F.expr(f"place div {per_file}")).drop("_h", "_top", "_above")
+
+
+def write_rolling(rows: DataFrame, path: str, key: str, per_file: int = 10_000, seed: str = "0") -> None:
+    """A folder file_no=N of one Parquet file for each per_file rows of the shuffled table; the last may be shorter."""
+    out = rolling_files(rows, key, per_file, seed)
+    out.repartition("file_no").sortWithinPartitions("file_no", "place").drop("place").write.partitionBy("file_no").parquet(path)
+
+
 def interleaved(spark, sizes: dict[str, int], weights: dict[str, float], cycle: int, n: int) -> DataFrame:
     """pos, dataset, local_idx of a stream of n: each cycle has round(weight * cycle) slots a dataset.
 

@@ -85,7 +85,7 @@ def instance_summaries(spark, sf):
 
 def embedding_covariance(spark, sf):
     rows = table(spark, sf, "embeddings").select(F.pmod("label", F.lit(2)).alias("label"), F.col("embedding").cast("array<double>").alias("v"), F.lit(1.0).alias("w"))
-    return C.weighted_covariance(rows, "label", "v", "w").filter("i = j").select("label", "i", F.round("cov", 9).alias("variance"))
+    return C.weighted_covariance(rows, "label", "v", "w").select("label", "i", "j", F.round("cov", 9).alias("cov"))
 
 
 def evaluation_report(spark, sf):
@@ -160,8 +160,8 @@ ORACLES = {
         SELECT msa_id, round(avg({_EQUAL.format('')}::DOUBLE / length(aln)), 9) AS recovery, round(avg({_EQUAL.format(" AND substr(aln, i, 1) <> '-'")}::DOUBLE / nullif(length(replace(aln, '-', '')), 0)), 9) AS masked_recovery FROM q GROUP BY msa_id""",
     "instance_summaries": """SELECT o_orderpriority AS evaluator, o_orderstatus AS sampler, (o_custkey % 10)::VARCHAR AS instance,
         'most=' || printf('%.3f', max(o_totalprice)) || ';n=' || printf('%.3f', count(*)::DOUBLE) AS metrics FROM orders GROUP BY ALL""",
-    "embedding_covariance": """WITH e AS (SELECT label % 2 AS label, unnest(range(0, len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings)
-        SELECT label, i, round((sum(x * x) - sum(x) * sum(x) / count(*)) / (count(*) - 1), 9) AS variance FROM e GROUP BY ALL""",
+    "embedding_covariance": """WITH e AS (SELECT vec_id, label % 2 AS label, unnest(range(0, len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings)
+        SELECT a.label, a.i, b.i AS j, round((sum(a.x * b.x) - sum(a.x) * sum(b.x) / count(*)) / (count(*) - 1), 9) AS cov FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY ALL""",
     "evaluation_report": f"""WITH {_inner('SELECT msa_id, columns AS entropy_columns, correlation FROM (' + A.ORACLES['entropy_correlation'] + ')', 'ea')}, {_inner(A.ORACLES['js_kl_divergence'], 'eb')}, {_inner(A.ORACLES['ratio_of_aggregates'], 'ec')}
         SELECT * FROM ea FULL JOIN eb USING (msa_id) FULL JOIN ec USING (msa_id)""",
     "fasta_subsample": f"WITH {SEQS}, r AS (SELECT accession, md5(sequence) AS sequence, row_number() OVER (ORDER BY md5('fasta|' || accession), accession) AS rn FROM s) SELECT accession, sequence FROM r WHERE rn <= 500",

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lamina.plans import alignments, catalogues, corpora, families, sequences
+from lamina.plans import alignments, assembly, catalogues, corpora, families, sequences
 
-MODULES = (sequences, families, alignments, corpora, catalogues)
+MODULES = (sequences, families, alignments, corpora, catalogues, assembly)
 QUERIES: dict = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

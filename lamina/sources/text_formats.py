@@ -153,6 +153,12 @@ def document_json(members: Column) -> Column:
     return F.to_json(members)
 
 
+def strict_json(text: Column, fields: list[str]) -> Column:
+    """The JSON object's text if it has no other fields than these, else an error."""
+    other = F.array_except(F.json_object_keys(text), F.array(*[F.lit(f) for f in fields]))
+    return F.when(F.size(other) == 0, text).otherwise(F.raise_error(F.concat(F.lit("unknown fields: "), F.array_join(other, ", "))).cast("string"))
+
+
 def candidates_csv(rows: DataFrame) -> DataFrame:
     """name, sequence, DMS_score of an assay table; the name is the mutant or seq_{row}."""
     have = rows.columns
