@@ -70,6 +70,33 @@ def test_files_hold_every_document_in_order(spark, odd_docs, odd_rows, library):
     assert len(found) == 1
 
 
+def test_files_carry_indexes_that_skip_rows(spark):
+    """Integer run lengths, row indexes and a Bloom filter are in the footers; an absent id inside the ranges reads nothing."""
+    first = 10**10
+    docs = spark.range(first, first + 60_000, 2).selectExpr("id as doc_id", "concat('document ', id) as text")
+    path = F.write_token_files(docs, shared_folder(spark, "test"), VOCABULARY)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    sarg = jvm.org.apache.hadoop.hive.ql.io.sarg
+    whole, read = 0, Counter()
+    present, absent = first + 24_000, first + 24_001
+    for file in F.read_token_files(spark, path).inputFiles():
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(file), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        whole += reader.getNumberOfRows()
+        footer = reader.rows().readStripeFooter(reader.getStripes().get(0))
+        streams = {(s.getColumn(), s.getKind().toString()) for s in footer.getStreamsList()}
+        assert (1, "BLOOM_FILTER_UTF8") in streams and {(c, "ROW_INDEX") for c in range(7)} <= streams
+        assert {c.getKind().toString() for c in list(footer.getColumnsList())[1:]} == {"DIRECT_V2"}
+        for wanted in (present, absent):
+            search = sarg.SearchArgumentFactory.newBuilder(conf).startAnd()
+            search = search.equals("doc_id", getattr(sarg, "PredicateLeaf$Type").LONG, wanted).end().build()
+            rows, batch = reader.rows(reader.options().searchArgument(search, None)), reader.getSchema().createRowBatch()
+            while rows.nextBatch(batch):
+                read[wanted] += batch.count()
+    assert whole == 30_000
+    assert 0 < read[present] <= int(F.ORC_OPTIONS["orc.row.index.stride"])
+    assert read[absent] == 0
+
+
 def test_no_documents(spark, no_docs):
     path = F.write_token_files(no_docs, shared_folder(spark, "test"), VOCABULARY)
     assert F.with_checksum(F.read_token_files(spark, path)).count() == 0
