@@ -13,6 +13,7 @@ from lamina.functions import identity as I
 from lamina.functions import residues as R
 from lamina.functions.statistics import correlation
 from lamina.operators import budget, members, sampling
+from lamina.operators.alignment import homology_weights
 
 
 def selected_assays(catalogue: DataFrame, ids: list[str] | None = None, most_length: int | None = None, name_part: str | None = None) -> DataFrame:
@@ -84,6 +85,34 @@ def missing_weights(alignments: DataFrame, cache: DataFrame, theta: float) -> Da
     return keyed.join(cache.select("content_hash", "theta").distinct(), ["content_hash", "theta"], "left_anti")
 
 
+def alignment_digest(rows: DataFrame) -> DataFrame:
+    """msa_id, content_hash of the multiset of an alignment's rows, without gathering them."""
+    sums = [F.sum(F.xxhash64("aln", F.lit(part)).cast("decimal(38,0)")).cast("string") for part in (0, 1)]
+    return rows.groupBy("msa_id").agg(F.sha2(F.concat_ws("|", F.count("*").cast("string"), *sums), 256).alias("content_hash"))
+
+
+def cached_weights(rows: DataFrame, path: str, theta: float, recompute: bool = False) -> DataFrame:
+    """msa_id, row_id, weight: homology weights, from the table in path where it has the alignment's content and theta.
+
+    Others are computed and appended; recompute computes all and, where a content is there twice, the last write counts.
+    The table is (content_hash, theta, aln, weight, written); equal rows have equal weights.
+    """
+    spark = rows.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    digests = alignment_digest(rows)
+    missing = digests
+    if not recompute and folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        known = spark.read.parquet(path).filter(F.col("theta") == theta).select("content_hash").distinct()
+        missing = digests.join(known, "content_hash", "left_anti")
+    own = rows.join(missing, "msa_id").dropDuplicates(["msa_id", "row_id"])
+    fresh = homology_weights(own.select("msa_id", "row_id", "aln"), theta).join(own, ["msa_id", "row_id"])
+    fresh = fresh.select("content_hash", "aln", "weight").distinct()
+    fresh.select("content_hash", F.lit(theta).alias("theta"), "aln", "weight", F.current_timestamp().alias("written")).write.mode("append").parquet(path)
+    table = spark.read.parquet(path).filter(F.col("theta") == theta)
+    last = table.groupBy("content_hash", "aln").agg(F.max_by("weight", "written").alias("weight"))
+    return rows.join(digests, "msa_id").join(last, ["content_hash", "aln"]).select("msa_id", "row_id", "weight")
+
+
 def recovery(samples: DataFrame, native: DataFrame, key: str) -> DataFrame:
     """key, mean identity of samples(key, sample, mask) to native(key, native), over all and over masked positions.
 

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lamina.functions.residues import parsed, without_gaps, without_insertions
+from lamina.functions.residues import parsed, uniform, without_gaps, without_insertions
 from lamina.operators import evaluation
 from lamina.operators.alignment import column_frequencies
+from lamina.operators.budget import context_sizes, prefix_cut
 from lamina.operators.sampling import weighted_order
 from lamina.sources.relations import cells
 
@@ -53,6 +54,26 @@ def contexts(weights: DataFrame, rows: DataFrame, ensemble_size: int, n: int, se
     return chosen.select("msa_id", "member", "row_id").join(rows, ["msa_id", "row_id"])
 
 
+def contexts_within(weights: DataFrame, rows: DataFrame, ensemble_size: int, budget: int, completion: int, seed: int) -> DataFrame:
+    """msa_id, member, rank, row_id, aln: for each ensemble member the rows of a random context that leaves room for a completion.
+
+    The number of rows is drawn evenly from the sizes that an assumed length allows; of the rows in weighted random
+    order the longest prefix of at most that many stays whose tokens, with two for the document and one for each
+    row, fit beside the completion. A member none of whose rows fits has no context.
+    """
+    sized = rows.select("msa_id", "row_id", "aln", F.length(F.replace("aln", F.lit("-"), F.lit(""))).alias("seq_len"))
+    families = sized.groupBy(F.col("msa_id").alias("family_id")).agg(F.count("*").alias("n"), F.min("seq_len").alias("min_len"), F.avg("seq_len").alias("avg_len"))
+    sizes = context_sizes(families, budget, completion).withColumnRenamed("family_id", "msa_id")
+    members = weights.withColumn("member", F.explode(F.sequence(F.lit(0), F.lit(ensemble_size - 1))))
+    members = members.withColumn("_group", F.concat_ws("#", "msa_id", F.col("member").cast("string")))
+    order = weighted_order(members, str(seed), "_group", "row_id", "weight")
+    drawn = F.col("lo") + F.floor(uniform(str(seed), F.lit("size"), F.col("_group")) * (F.col("hi") - F.col("lo") + 1))
+    placed = order.join(sizes, "msa_id").filter(F.col("rank") <= drawn).select("msa_id", "member", "_group", "rank", "row_id")
+    placed = placed.join(sized, ["msa_id", "row_id"])
+    fits = prefix_cut(placed, F.col("seq_len") + 1, lambda t: t + 2 + completion > budget, ["_group"], ["rank"])
+    return fits.select("msa_id", "member", "rank", "row_id", "aln")
+
+
 def score(scorer: Scorer, chosen: DataFrame, candidates: DataFrame, per_residue: bool = False) -> DataFrame:
     """msa_id, candidate, members, score (mean over members of mean log-probability), and per residue if asked."""
     tokens = scorer.token_scores(chosen, candidates).withColumn("key", F.struct("msa_id", "candidate"))

@@ -11,6 +11,7 @@ from lamina.operators import evaluation as E
 from lamina.operators import members as M
 from lamina.operators import packing as P
 from lamina.operators import sampling as S
+from lamina.operators import scoring as L
 from lamina.plans.proxies import MSA, SEQS, UNIFORM
 from lamina.session import table
 from lamina.sources import text_formats as T
@@ -83,11 +84,17 @@ def strict_documents(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.from_json(j, "p_name string, p_type string, p_size long").alias("d")).select("p_partkey", "d.*")
 
 
+def chosen_contexts(spark, sf):
+    rows = aligned(spark, sf)
+    weights = rows.select("msa_id", "row_id", (1 / (F.pmod("row_id", F.lit(7)) + 1)).alias("weight"))
+    return L.contexts_within(weights, rows, 3, 600, 50, 5).select("msa_id", "member", "rank", "row_id")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         budget_raw_sample, budget_raw_drop_first, budget_room_cut, prompt_completions, bad_tokens, shuffled_files, combined_records, pairwise_summary,
-        similarity_max_samples, cosine_rates, strict_documents,
+        similarity_max_samples, cosine_rates, strict_documents, chosen_contexts,
     )
 }
 
@@ -134,4 +141,11 @@ ORACLES = {
     "cosine_rates": """SELECT o_orderkey, round(CASE WHEN o_orderkey < 1000 THEN o_orderkey / 1000.0::DOUBLE
         ELSE greatest(0, 0.5::DOUBLE * (1 + cos((o_orderkey - 1000) / 69000.0::DOUBLE * pi())) * 0.9::DOUBLE + 0.1::DOUBLE) END, 9) AS rate FROM orders""",
     "strict_documents": "SELECT p_partkey, p_name, p_type, p_size::BIGINT AS p_size FROM part",
+    "chosen_contexts": f"""WITH {MSA}, l AS (SELECT msa_id, row_id, length(replace(aln, '-', '')) AS n FROM m),
+        f AS (SELECT msa_id, count(*) AS k, least(floor(545 / ((min(n) + avg(n)) / 2))::BIGINT + 2, count(*)) AS top FROM l GROUP BY 1),
+        e AS (SELECT l.*, member::INTEGER AS member, msa_id || '#' || member AS g FROM l, range(0, 3) r(member)),
+        o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY -ln(greatest({UNIFORM.format("'5|' || g || '|' || row_id")}, 1e-15)) / (1.0::DOUBLE / (row_id % 7 + 1)), row_id) AS rank FROM e),
+        d AS (SELECT o.*, least(top, 2) + floor({UNIFORM.format("'5|size|' || g")} * (least(top, k) - least(top, 2) + 1)) AS most FROM o JOIN f USING (msa_id)),
+        c AS (SELECT *, sum(n + 1) OVER (PARTITION BY g ORDER BY rank ROWS UNBOUNDED PRECEDING) AS t FROM d WHERE rank <= most)
+        SELECT msa_id, member, rank, row_id FROM c WHERE t + 52 <= 600""",
 }

@@ -8,7 +8,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from lamina.operators import alignment, budget, sampling
+from lamina.operators import alignment, budget, catalogue, sampling
 from lamina.sources import text_formats
 from lamina.streaming import monitor
 
@@ -89,3 +89,25 @@ def test_a_stream_resumes(spark, tmp_path):
     spark.range(3, 5).coalesce(1).write.mode("append").parquet(source)
     assert run() == [0, 1, 2, 3, 4]  # files that were read are not read again
     assert run() == [0, 1, 2, 3, 4]
+
+
+def test_cached_weights(spark, tmp_path):
+    path = str(tmp_path / "weights")
+    rows = [("m", 0, "ACDEF"), ("m", 1, "ACDEF"), ("m", 2, "ACDEY"), ("n", 0, "WWWWW"), ("n", 1, "ACDEF")]
+
+    def weights(rows, theta=0.2, **options):
+        found = catalogue.cached_weights(spark.createDataFrame(rows, "msa_id string, row_id int, aln string"), path, theta, **options)
+        return {(r.msa_id, r.row_id): r.weight for r in found.collect()}
+
+    def stored():
+        return spark.read.parquet(path).select("content_hash", "theta").distinct().count()
+
+    first = weights(rows)
+    assert first == {("m", 0): 1 / 3, ("m", 1): 1 / 3, ("m", 2): 1 / 3, ("n", 0): 1, ("n", 1): 1}
+    assert stored() == 2 and weights(rows) == first and stored() == 2
+    assert weights([("other", r, a) for m, r, a in rows if m == "m"]) == {("other", r): 1 / 3 for r in range(3)} and stored() == 2
+    assert weights(rows, 0.1)["m", 2] == 1 and stored() == 4
+    assert weights([*rows, ("m", 3, "ACDEF")])["m", 0] == 1 / 4 and stored() == 5
+    changed = spark.read.parquet(path).selectExpr("content_hash", "theta", "aln", "weight * 2 as weight", "written + interval 1 second as written").collect()
+    spark.createDataFrame(changed).write.mode("append").parquet(path)
+    assert weights(rows)["n", 0] == 2  # read, not computed
