@@ -119,7 +119,7 @@ def global_index(rows: DataFrame) -> DataFrame:
     """seq_idx plus the number of sequences in the files that sort before, as global_idx."""
     counts = rows.groupBy("file").agg(F.count("*").alias("n"))
     before = counts.select("file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    return rows.join(F.broadcast(before), "file").withColumn("global_idx", F.col("seq_idx") + F.col("base"))
+    return rows.join(before, "file").withColumn("global_idx", F.col("seq_idx") + F.col("base"))
 
 
 def fasta_lines(rows: DataFrame, name: Column, sequence: Column) -> DataFrame:

@@ -11,7 +11,7 @@ from lamina.plans import registry
 #: Joins by range or with a table of one row for each letter, whose small side is broadcast.
 NESTED_LOOPS = {"dataset_range_lookup", "ensemble_profile_scores", "assay_spearman"}
 #: Windows over one row for each file, family, block or dataset.
-SMALL_WINDOWS = {"file_shards", "global_indexes", "sequences_file_roundtrip", "held_out_families", "block_shuffle", "offset_resume", "shuffled_files"}
+SMALL_WINDOWS = {"file_shards", "global_indexes", "family_sources", "sequences_file_roundtrip", "held_out_families", "block_shuffle", "offset_resume", "shuffled_files"}
 ONE_TASK_WINDOW = re.compile(r"Window \[[^\n]*\n[^\n]*Sort[^\n]*\n[^\n]*Exchange SinglePartition")
 STREAMS = {name for name in registry.QUERIES if name.startswith("stream_")}
 
