@@ -140,8 +140,8 @@ def homology_weights(rows: DataFrame, theta: float) -> DataFrame:
 
     distinct = distinct_rows(rows)
     counts = neighbour_counts(distinct, False, near)
-    counts = distinct.join(counts, ["msa_id", "row_id"]).select("msa_id", "aln", F.when(F.col("n") > 0, F.col("n")).otherwise(F.col("copies")).alias("neighbours"))
-    out = rows.join(counts, ["msa_id", "aln"]).withColumn("weight", 1 / F.col("neighbours"))
+    counts = distinct.hint("merge").join(counts, ["msa_id", "row_id"]).select("msa_id", "aln", F.when(F.col("n") > 0, F.col("n")).otherwise(F.col("copies")).alias("neighbours"))
+    out = rows.hint("merge").join(counts, ["msa_id", "aln"]).withColumn("weight", 1 / F.col("neighbours"))
     total = F.sum("weight").over(Window.partitionBy("msa_id"))
     return out.select("msa_id", "row_id", "neighbours", "weight", (F.col("weight") / total).alias("p"), total.alias("n_eff"))
 

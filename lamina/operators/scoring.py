@@ -42,7 +42,8 @@ class ProfileScorer:
         profile = column_frequencies(long, alphabet, self.alpha).select(
             F.col("msa_id.msa_id").alias("msa_id"), F.col("msa_id.member").alias("member"), "col", "token", F.log("frequency").alias("log_prob")
         )
-        wanted = candidates.select("msa_id", "candidate", F.posexplode(F.split("aln", "")).alias("col", "token"))
+        # Sizes estimated before the explode are too small by the columns, so that cells could be broadcast; they are merged.
+        wanted = candidates.select("msa_id", "candidate", F.posexplode(F.split("aln", "")).alias("col", "token")).hint("merge")
         return wanted.join(profile, ["msa_id", "col", "token"]).select("msa_id", "candidate", "member", F.col("col").alias("pos"), "log_prob")
 
 
@@ -51,7 +52,7 @@ def contexts(weights: DataFrame, rows: DataFrame, ensemble_size: int, n: int, se
     members = weights.withColumn("member", F.explode(F.sequence(F.lit(0), F.lit(ensemble_size - 1))))
     members = members.withColumn("_group", F.concat_ws("#", "msa_id", F.col("member").cast("string")))
     chosen = weighted_order(members, str(seed), "_group", "row_id", "weight").filter(F.col("rank") <= n)
-    return chosen.select("msa_id", "member", "row_id").join(rows, ["msa_id", "row_id"])
+    return chosen.select("msa_id", "member", "row_id").join(rows.hint("merge"), ["msa_id", "row_id"])
 
 
 def contexts_within(weights: DataFrame, rows: DataFrame, ensemble_size: int, budget: int, completion: int, seed: int) -> DataFrame:
@@ -75,14 +76,27 @@ def contexts_within(weights: DataFrame, rows: DataFrame, ensemble_size: int, bud
 
 
 def score(scorer: Scorer, chosen: DataFrame, candidates: DataFrame, per_residue: bool = False) -> DataFrame:
-    """msa_id, candidate, members, score (mean over members of mean log-probability), and per residue if asked."""
-    tokens = scorer.token_scores(chosen, candidates).withColumn("key", F.struct("msa_id", "candidate"))
-    out = evaluation.ensemble_scores(tokens.select(F.col("key").alias("candidate"), "member", "log_prob"))
+    """msa_id, candidate, members, score (mean over members of mean log-probability), and per residue if asked.
+
+    A score depends on the aligned text alone: the scorer gets each text of an alignment once, under its md5 as the
+    candidate, and sums and counts go back to all candidates that have it.
+    """
+    named = candidates.select("msa_id", "candidate", F.unhex(F.md5("aln")).alias("text"), "aln")
+    tokens = scorer.token_scores(chosen, named.select("msa_id", F.col("text").alias("candidate"), "aln").distinct())
+    named = named.select("msa_id", "text", F.struct("msa_id", "candidate").alias("key")).hint("merge")
+
+    def of_candidates(part: str, mean: str) -> DataFrame:
+        """candidate, part and the mean log-probability of the tokens of all its rows there."""
+        texts = tokens.groupBy("msa_id", F.col("candidate").alias("text"), part).agg(F.sum("log_prob").alias("s"), F.count("log_prob").alias("n"))
+        rows = named.join(texts, ["msa_id", "text"]).select(F.col("key").alias("candidate"), part, "s", "n")
+        return rows.groupBy("candidate", part).agg(F.try_divide(F.sum("s"), F.sum("n")).alias(mean))
+
+    out = evaluation.ensemble_scores(of_candidates("member", "log_prob"))
     out = out.select("candidate.msa_id", "candidate.candidate", "members", "score")
     if not per_residue:
         return out
-    per = tokens.groupBy("msa_id", "candidate", "pos").agg(F.avg("log_prob").alias("l"))
-    lists = per.groupBy("msa_id", "candidate").agg(F.array_sort(F.collect_list(F.struct("pos", "l"))).alias("r"))
+    lists = of_candidates("pos", "l").groupBy("candidate").agg(F.array_sort(F.collect_list(F.struct("pos", "l"))).alias("r"))
+    lists = lists.select("candidate.msa_id", "candidate.candidate", "r")
     return out.join(lists, ["msa_id", "candidate"]).withColumn("residue_scores", F.transform("r", lambda x: x["l"])).drop("r")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
@@ -195,3 +196,36 @@ def test_kmers_of_many_targets_count(spark):
     got = T.kmer_candidates(spark.createDataFrame(queries, "id long, sequence string"), spark.createDataFrame(targets, "id long, sequence string"), 12, 20)
     assert {(r.query_id, r.target_id): r.shared for r in got.collect()} == expected
     assert {(2, i) for i in range(9)} <= set(expected)
+
+
+def test_scores_of_copies_are_their_texts(spark):
+    contexts = [("m", 0, 1, "AC-"), ("m", 0, 2, "AD-"), ("m", 1, 1, "AC-"), ("n", 0, 5, "DD")]
+    # Copies, a candidate of two rows, a longer text than its contexts, null, and an alignment without contexts.
+    candidates = [("m", 1, "AC-"), ("m", 2, "AC-"), ("m", 2, "D"), ("m", 3, "DDDD"), ("m", 4, None), ("n", 1, "AC"), ("n", 1, "AC"), ("o", 1, "AC")]
+    letters = set("".join(t for *_, t in contexts) + "".join(t for *_, t in candidates if t))
+    found = {}
+    for m, c, text in candidates:
+        for a, e in {x[:2] for x in contexts if x[0] == m}:
+            own = [t for x, y, _, t in contexts if (x, y) == (a, e)]
+            for i, letter in enumerate((text or "")[: len(own[0])]):
+                share = sum(t[i] == letter for t in own) / len(own)
+                found.setdefault((m, c), {}).setdefault(e, []).append((i, math.log(0.9 * share + 0.1 / len(letters))))
+    mean = lambda x: sum(x) / len(x)
+    asked = []
+
+    class Counted(L.ProfileScorer):
+        def token_scores(self, contexts, candidates):
+            asked.append(candidates.filter("aln is not null").count())
+            return super().token_scores(contexts, candidates)
+
+    got = L.score(
+        Counted(), spark.createDataFrame(contexts, "msa_id string, member int, row_id long, aln string"), spark.createDataFrame(candidates, "msa_id string, candidate long, aln string"), True
+    ).collect()
+    assert asked == [5]
+    assert {(r.msa_id, r.candidate) for r in got} == set(found) and len(got) == len(found)
+    for r in got:
+        members = found[r.msa_id, r.candidate]
+        assert r.members == len(members)
+        assert r.score == pytest.approx(mean([mean([x for _, x in v]) for v in members.values()]), abs=1e-8)
+        positions = sorted({i for v in members.values() for i, _ in v})
+        assert r.residue_scores == pytest.approx([mean([x for v in members.values() for j, x in v if j == i]) for i in positions])
