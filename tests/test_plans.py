@@ -35,7 +35,8 @@ def test_scans_are_pruned(spark, sf_dir):
     assert "EqualTo(quality,0)" in text
 
 
-def test_cells_and_rows_of_alignments_are_not_broadcast(spark, sf_dir):
+@pytest.mark.parametrize("name", ["assay_spearman", "ensemble_profile_scores"])
+def test_cells_and_rows_of_alignments_are_not_broadcast(spark, sf_dir, name):
     # Estimates leave out the explode to cells, so that tables of many cells looked small enough.
     rows = re.compile(r"BroadcastExchange[^\n]*\n(?:[^\n]*[-:] (?:\*\(\d+\) )?(?:Project|Filter|ColumnarToRow)[^\n]*\n)*[^\n]*(?:Generate|FileScan)")
-    assert not rows.search(plan(registry.QUERIES["ensemble_profile_scores"](spark, sf_dir)))
+    assert not rows.search(plan(registry.QUERIES[name](spark, sf_dir)))
