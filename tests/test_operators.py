@@ -229,3 +229,28 @@ def test_scores_of_copies_are_their_texts(spark):
         assert r.score == pytest.approx(mean([mean([x for _, x in v]) for v in members.values()]), abs=1e-8)
         positions = sorted({i for v in members.values() for i, _ in v})
         assert r.residue_scores == pytest.approx([mean([x for v in members.values() for j, x in v if j == i]) for i in positions])
+
+
+@pytest.mark.parametrize("k", [1, 7, 12, 33])
+def test_only_kmers_of_targets_become_rows(spark, k):
+    rng = random.Random(k)
+    word = lambda n, a="ABCDEFGHIJKLMNOPQRSTUVWXYZ": "".join(rng.choice(a) for _ in range(n))
+    passage, foreign = word(60), word(50, "aé中😀")
+    targets = [(1, word(200) + passage), (2, foreign), (3, None), (4, ""), (5, "AB")]
+    # Windows do not go on from one text into the next; one text has more windows than are hashed at once.
+    queries = [(1, passage[:20]), (2, passage[20:]), (3, None), (4, ""), (5, word(T.WINDOWS - 5) + passage + word(90)), (6, "é" + passage + foreign), (7, foreign[:40] + foreign[:40]), (None, passage)]
+    kmers = lambda x: {x[i : i + k] for i in range(len(x or "") - k + 1)}
+    held = set().union(*(kmers(x) for _, x in targets))
+    expected = {(q, x) for q, text in queries for x in kmers(text) & held}
+    schema = "id long, sequence string"
+    rows = [tuple(r) for r in T.filtered_kmers(spark.createDataFrame(queries, schema).coalesce(1), spark.createDataFrame(targets, schema), k).collect()]
+    assert len(rows) == len(set(rows))
+    assert expected <= set(rows)
+    assert len(set(rows) - expected) < 0.01 * T.WINDOWS
+
+
+def test_no_kmers_without_targets(spark):
+    queries = spark.createDataFrame([(1, "ABCDEFGHIJKLMNOPQ")], "id long, sequence string")
+    assert T.kmer_candidates(queries, queries.filter("id = 2"), 12, 1).count() == 0
+    assert T.kmer_candidates(queries.filter("id = 2"), queries, 12, 1).count() == 0
+    assert [tuple(r) for r in T.kmer_candidates(queries, queries, 12, 1).collect()] == [(1, 1, 6)]

@@ -40,3 +40,10 @@ def test_cells_and_rows_of_alignments_are_not_broadcast(spark, sf_dir, name):
     # Estimates leave out the explode to cells, so that tables of many cells looked small enough.
     rows = re.compile(r"BroadcastExchange[^\n]*\n(?:[^\n]*[-:] (?:\*\(\d+\) )?(?:Project|Filter|ColumnarToRow)[^\n]*\n)*[^\n]*(?:Generate|FileScan)")
     assert not rows.search(plan(registry.QUERIES[name](spark, sf_dir)))
+
+
+def test_documents_are_not_exploded_to_kmers(spark, sf_dir):
+    exploded = re.compile(r"Generate[^\n]*\n(?:[^\n]*[-:] (?:\*\(\d+\) )?(?:Project|Filter|ColumnarToRow)[^\n]*\n)*[^\n]*FileScan[^\n]*doc_id")
+    text = plan(registry.QUERIES["kmer_cluster"](spark, sf_dir))
+    assert not exploded.search(text)
+    assert "BroadcastExchange" not in text
