@@ -20,9 +20,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.llm.common import partitions, running, small_batches, text_batches
-from lamina.llm.tokenizing import encoder, gathered, vocabulary
+from lamina.llm.tokenizing import WordEncoder, encoder, gathered, vocabulary
 
 END_ID = 2
+#: Bytes of whole texts encoded at once; a longer text comes alone. Words, ids and their copies take many times this,
+#: in each worker and beside the writer's heap, and larger pieces encode no faster.
+PIECE_BYTES = 1 << 20
 SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
 #: ORC settings: doc_id filters, rows for each index entry, stripe bytes.
 ORC_OPTIONS = {
@@ -35,27 +38,32 @@ ORC_OPTIONS = {
 }
 
 
+def token_rows(batches: Iterator[pa.RecordBatch], own: WordEncoder, end_id: int) -> Iterator[pa.RecordBatch]:
+    """The rows of one partition's file from its doc_id, text and part, a piece of texts at a time."""
+    start = 0
+    for batch in gathered(text_batches(batches, 1, PIECE_BYTES), PIECE_BYTES):
+        ids, at = own.encode(batch.column(1))
+        ids = np.insert(ids, at[1:], end_id)
+        at = at + np.arange(len(at))
+        sizes = np.diff(at)
+        lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32), pa.int32()))
+        columns = [batch.column(0), batch.column(2), pa.array(start + at[:-1]), pa.array(sizes), lists]
+        start += int(at[-1])
+        yield pa.record_batch(columns, ["doc_id", "part", "start_in_part", "n_tokens", "ids"])
+
+
 def write_token_files(docs: DataFrame, path: str, vocabulary_path: str, end_id: int = END_ID, key: str = "doc_id", text: str = "text") -> str:
     """Encode every text, append end_id, and write the ids below path; returns path."""
     spark = docs.sparkSession
     handle = spark.sparkContext.broadcast(vocabulary(vocabulary_path))  # one vocabulary file of fixed size
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, start = encoder(handle.value), 0
-        for batch in gathered(text_batches(batches, 1)):
-            ids, at = own.encode(batch.column(1))
-            ids = np.insert(ids, at[1:], end_id)
-            at = at + np.arange(len(at))
-            sizes = np.diff(at)
-            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32), pa.int32()))
-            columns = [batch.column(0), batch.column(2), pa.array(start + at[:-1]), pa.array(sizes), lists]
-            start += int(at[-1])
-            yield pa.record_batch(columns, ["doc_id", "part", "start_in_part", "n_tokens", "ids"])
+        return token_rows(batches, encoder(handle.value), end_id)
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(partitions(spark), "doc_id", "tie")
     rows = rows.sortWithinPartitions("doc_id", "tie").select("doc_id", "text", F.spark_partition_id().alias("part"))
-    with small_batches(spark):
+    with small_batches(spark, PIECE_BYTES):
         rows.mapInArrow(encoded, SCHEMA).write.options(**ORC_OPTIONS).orc(path)
     return path
 

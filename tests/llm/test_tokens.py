@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -70,6 +71,27 @@ def test_files_hold_every_document_in_order(spark, odd_docs, odd_rows, library):
     assert len(found) == 1
 
 
+def test_a_writer_encodes_a_piece_of_texts_at_a_time(library):
+    """NumPy and Python hold less than four times a batch of 8 MB beside it; rows and offsets go on over pieces."""
+    texts = ["some words to encode, again " * n for n in [300] * 1000 + [50_000] + [1] * 10] + [None, ""]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts), pa.array([3] * len(texts), pa.int32())], ["doc_id", "text", "part"])
+    own, short = WordEncoder(vocabulary(VOCABULARY)), batch.slice(0, 1000)  # the next text is longer than a piece
+    own.encode(short.column(1).slice(0, 1))
+    tracemalloc.start()
+    try:
+        assert sum(rows.num_rows for rows in F.token_rows(iter([short]), own, 2)) == 1000
+        beside = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert beside < 4 * short.nbytes
+    found = pa.Table.from_batches(list(F.token_rows(iter([batch]), own, 2))).to_pydict()
+    ids = {t: [*library(t), 2] for t in set(texts)}
+    assert found["ids"] == [ids[t] for t in texts]
+    assert found["n_tokens"] == [len(ids[t]) for t in texts]
+    assert found["start_in_part"] == [0, *np.cumsum(found["n_tokens"])[:-1].tolist()]
+    assert found["doc_id"] == list(range(len(texts))) and set(found["part"]) == {3}
+
+
 def test_files_carry_indexes_that_skip_rows(spark):
     """Integer run lengths, row indexes and a Bloom filter are in the footers; an absent id inside the ranges reads nothing."""
     first = 10**10
